@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .shared import fresh, table
 
-RATE = 0.1  # edits allowed by character of an item
+RATE = 0.05  # edits allowed by character of an item
 SHORTEST = 32  # characters below which an item is too common to be searched
 BLOCK = 4_000_000  # characters of items that one pass of the documents searches
 

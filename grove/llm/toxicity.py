@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.3
 POSITIVES, UNLABELLED = 3000, 6000  # bounds of the training sample, in rows
+LEAST, LIFT = 0.03, 3.0  # share of positives that have a feature; times its share at large
 KEEP = 400_000  # words whose weight a worker remembers
 
 
@@ -45,12 +47,13 @@ class Model:
         return lambda text: 1 / (1 + np.exp(-np.clip(self.bias + sum(sorted(map(weight, set(WORD.findall(text.lower()))))), -60, 60)))
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float, epochs: int = 30, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> Model:
-    """Minimise the non-negative PU risk of a logistic classifier by Adam on mini-batches.
+def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-3) -> Model:
+    """Minimise the non-negative PU risk of a logistic classifier by Adam, all
+    rows at each step.
 
     With class prior p, positives P and unlabelled U the risk is
     p E_P[l(+)] + max(0, E_U[l(-)] - p E_P[l(-)]). The second part estimates the risk on
-    negatives; a batch in which it falls below zero is overfitted, and its gradient is
+    negatives; where it falls below zero the classifier is overfitted, and its gradient is
     turned round. Without positives every score is the prior.
     """
     prior = min(max(prior, 1e-3), 0.999)
@@ -58,51 +61,40 @@ def train(positive: list[str], unlabelled: list[str], prior: float, epochs: int
     if not positive or not unlabelled:
         return Model({}, base)
     features = lambda text: [f for w in set(WORD.findall(text.lower())) for f in _of_word(w)]
-    seen: dict[str, int] = {}
-    bags = [features(t) for t in positive]
-    for bag in bags:
-        for f in set(bag):
-            seen[f] = seen.get(f, 0) + 1
-    least = max(2, len(positive) // 200)
-    vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
+    bags, others = [features(t) for t in positive], [features(t) for t in unlabelled]
+    in_p, in_u = (Counter(f for bag in x for f in set(bag)) for x in (bags, others))
+    # Features are kept that stand in enough positives, and there oftener than at large.
+    least = max(3, LEAST * len(bags))
+    chosen = [f for f, n in in_p.items() if n >= least and n / len(bags) >= LIFT * in_u[f] / len(others)]
+    vocabulary = {f: i for i, f in enumerate(sorted(chosen))}
     rows = lambda bags: [np.array([vocabulary[f] for f in bag if f in vocabulary], np.int64) for bag in bags]
-    pos, unl = rows(bags), rows(map(features, unlabelled))
+    pos, unl = rows(bags), rows(others)
     n = len(vocabulary)
-    w, m, v, step = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1), 0
+    w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     w[n] = base
-    rng = np.random.default_rng(seed)
 
-    def forward(batch: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array([len(b) for b in batch])
-        index = np.concatenate(batch) if sizes.sum() else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(batch)), sizes)
-        return np.bincount(owner, w[index], len(batch)) + w[n], index, owner
+    def flat(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+        return np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags)
 
-    def gradient(slopes: np.ndarray, index: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    def forward(index: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(owner, w[index], size) + w[n]
+
+    def gradient(slopes: np.ndarray, index: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
         g = np.bincount(index, slopes[owner], n + 1)
         g[n] = slopes.sum()
-        return g
+        return g / size
 
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    batches = max(1, len(unl) // 500)
-    for _ in range(epochs):
-        p_parts, u_parts = (np.array_split(rng.permutation(len(x)), batches) for x in (pos, unl))
-        for p_part, u_part in zip(p_parts, u_parts, strict=True):
-            if not len(p_part):
-                p_part = rng.integers(0, len(pos), min(len(pos), 32))
-            zp, ip, op = forward([pos[i] for i in p_part])
-            zu, iu, ou = forward([unl[i] for i in u_part])
-            # Logistic loss: l(+) = log(1 + e^-z), l(-) = log(1 + e^z).
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            g_negative = gradient(sigmoid(zu) / len(zu), iu, ou) - gradient(prior * sigmoid(zp) / len(zp), ip, op)
-            if negative >= 0:
-                g = gradient(prior * (sigmoid(zp) - 1) / len(zp), ip, op) + g_negative
-            else:
-                g = -g_negative
-            g[:n] += l2 * w[:n]
-            step += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    pos, unl = flat(pos), flat(unl)
+    for step in range(1, steps + 1):
+        zp, zu = forward(*pos), forward(*unl)
+        # Logistic loss: l(+) = log(1 + e^-z), l(-) = log(1 + e^z).
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        g_negative = gradient(sigmoid(zu), *unl) - prior * gradient(sigmoid(zp), *pos)
+        g = prior * gradient(sigmoid(zp) - 1, *pos) + g_negative if negative >= 0 else -g_negative
+        g[:n] += l2 * w[:n]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     names = list(vocabulary)
     return Model({names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w[:n]) > 1e-3)}, float(w[n]))
 

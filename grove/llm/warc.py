@@ -28,7 +28,7 @@ def _open(uri: str, write: bool = False):
     if not write:
         return store.open_input_file(path)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def _member(headers: list[tuple[str, object]], block: bytes) -> bytes:
