@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op3_benchmark_decontamination
 from .digest import op10_document_fingerprints
+from .kneser_ney import op9_quality
 from .langid import op1_language_id
 from .packing import op6_best_fit_packing
 from .secrets import OP4_SQL, op4_secret_scans
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_toxicity": op7_toxicity,
         "op8_warc": op8_warc,
+        "op9_quality": op9_quality,
         "op10_document_fingerprints": op10_document_fingerprints,
     }
 
