@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -142,10 +142,10 @@ class _State:
     """``held``: for every live suffix length, the last token before that suffix (None at
     the start of the pre-token) and the number of tokens up to there, less those up to here."""
 
-    __slots__ = ("suffix", "held", "token", "length", "moves")
+    __slots__ = ("suffix", "held", "moves")
 
-    def __init__(self, suffix: bytes, held: dict, token: int, length: int):
-        self.suffix, self.held, self.token, self.length = suffix, held, token, length
+    def __init__(self, suffix: bytes, held: dict):
+        self.suffix, self.held = suffix, held
         self.moves: dict[int, tuple[_State, int]] = {}
 
 
@@ -157,7 +157,8 @@ class Compiled:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        to_byte = {c: b for b, c in _printable().items()}
+        self.printable = _printable()
+        to_byte = {c: b for b, c in self.printable.items()}
         raw = lambda s: bytes(to_byte[c] for c in s)
         vocab = spec["model"]["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -175,7 +176,7 @@ class Compiled:
         self._reset()
 
     def _reset(self) -> None:
-        self.start = _State(b"", {0: (None, 0)}, -1, 0)
+        self.start = _State(b"", {0: (None, 0)})
         self.states: dict[tuple, _State] = {}
         self.valid: dict[tuple[int, int], bool] = {}
         self.tails: dict[bytes, tuple[bytes, tuple, list]] = {}
@@ -235,7 +236,7 @@ class Compiled:
         key = (suffix, *kept.values())
         found = self.states.get(key)
         if found is None:
-            found = self.states[key] = _State(suffix, kept, token, k + 1)
+            found = self.states[key] = _State(suffix, kept)
         state.moves[byte] = made = (found, count)
         return made
 
@@ -247,16 +248,8 @@ class Compiled:
         return total
 
     def encode(self, word: bytes) -> list[int]:
-        """Token ids of one pre-token: the last tokens, followed back from its end."""
-        state, path = self.start, []
-        for b in word:
-            state, _ = state.moves.get(b) or self._move(state, b)
-            path.append(state)
-        ids, at = [], len(path)
-        while at:
-            ids.append(path[at - 1].token)
-            at -= path[at - 1].length
-        return ids[::-1]
+        """Token ids of one pre-token, from the library's own model."""
+        return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.printable))]
 
     def split(self, data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pre-tokens of UTF-8 texts that lie side by side (``lengths`` in bytes): where each
@@ -311,13 +304,16 @@ class Compiled:
             out.append(got)
         return out, which
 
+    @cached_property
     def library(self):
-        """The tokenizers library over the same file, for texts that hold special strings."""
+        """The tokenizers library over the same file."""
         from tokenizers import Tokenizer
 
-        if not hasattr(self, "_library"):
-            self._library = Tokenizer.from_file(self.path)
-        return self._library
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def model(self):
+        return self.library.model
 
 
 @lru_cache(4)

@@ -50,7 +50,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     if special:
                         text = bytes(raw[offsets[a + i] : offsets[a + i + 1]]).decode()
                         if SPECIAL in text:
-                            ids = np.array(bpe.library().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                            ids = np.array(bpe.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
                     if ids is None:
                         ids = b"".join([known[w] for w in which[parts[i] : parts[i + 1]]])
                     ids += end

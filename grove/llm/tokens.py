@@ -48,7 +48,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     for i in range(a, b):
                         text = bytes(raw[offsets[i] : offsets[i + 1]]).decode()
                         if SPECIAL in text:
-                            counts[i] = len(bpe.library().encode(text, add_special_tokens=False).ids)
+                            counts[i] = len(bpe.library.encode(text, add_special_tokens=False).ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(counts), pa.array(counts > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
