@@ -116,7 +116,7 @@ def gc_live(s: SparkSession, d: str) -> DataFrame:
     return G.reach(edges, roots).groupBy("level").agg(F.count("*").alias("live"))
 
 
-_RANGES = "select l_orderkey * 40 + l_linenumber * 5 as off, cast(l_quantity as bigint) % 9 + 1 as len from lineitem"
+_RANGES = "select distinct l_orderkey * 40 + l_linenumber * 5 as off, cast(l_quantity as bigint) % 9 + 1 as len from lineitem"
 
 
 def _ranges(s: SparkSession, d: str) -> DataFrame:
