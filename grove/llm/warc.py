@@ -7,7 +7,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +16,10 @@ from .shared import materialize, table, work_dir
 MAGIC = b"\x1f\x8b\x08"
 SHORTEST = 100  # bytes of a payload from which a repeat becomes a revisit
 SPLIT = 8 << 20  # bytes of an archive that one task scans
+TASKS = 100_000  # most tasks of a read; each then scans several ranges
 READ = 1 << 20
+ROWS = 256  # rows that a task holds as Python objects
+SMALL = 200_000  # repeated payloads up to which the pages stay where they are
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -66,24 +69,27 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
     repeated = rows.where(F.col("size") >= SHORTEST).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = materialize(repeated, "repeated")
+    side = F.broadcast(repeated) if repeated.count() <= SMALL else repeated  # beyond it, both sides are shuffled
     refers = F.when((F.col("size") >= SHORTEST) & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = rows.join(repeated, "digest", "left").select("id", "url", "html", "digest", refers.alias("refers_to"))
+    rows = rows.join(side, "digest", "left").select("id", "url", "html", "digest", refers.alias("refers_to"))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, out, size, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, 0, 0
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                if out is None:
-                    out = _open(path, write=True)
-                    size += out.write(_member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date)], b""))
-                size += out.write(record(None if pd.isna(r.id) else int(r.id), r.url, r.html.encode(), r.digest, None if pd.isna(r.refers_to) else int(r.refers_to), date))
-                n += 1
+            for at in range(0, batch.num_rows, ROWS):
+                for number, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns), strict=True):
+                    if out is None:
+                        out = _open(path, write=True)
+                        size += out.write(_member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date)], b""))
+                    size += out.write(record(number, url, html.encode(), digest, refers_to, date))
+                    n += 1
         if out is not None:
             out.close()
-            yield pd.DataFrame({"path": [path], "bytes": [size], "records": [n]})
+            yield pa.RecordBatch.from_pydict({"path": [path], "bytes": [size], "records": [n]})
 
     rows = rows.withColumns({c: F.col(c).cast("long") for c in ("id", "refers_to")})
-    return materialize(rows.mapInPandas(write, "path string, bytes long, records long"), "archives")
+    return materialize(rows.mapInArrow(write, "path string, bytes long, records long"), "archives")
 
 
 class _Window:
@@ -174,36 +180,36 @@ def read_archives(archives: DataFrame, split: int = SPLIT, with_payload: bool =
     revisit has what its headers name.
     """
     ranges = archives.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
-    columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid", *["payload"] * with_payload]
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                out, held = [], 0
-                with _open(r.path) as source:
-                    for h, block in records(source, r.start, r.start + split):
-                        kind = h.get("warc-type")
-                        if kind not in ("response", "revisit"):
-                            continue
-                        named, size = h.get("warc-payload-digest", "").removeprefix("sha256:"), int(h.get("x-payload-length", -1))
-                        payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-                        digest, n = (named, size) if payload is None else (hashlib.sha256(payload).hexdigest(), len(payload))
-                        number = lambda k: int(h[k]) if k in h else None  # noqa: E731, B023
-                        out.append((number("x-page-id"), h.get("warc-target-uri"), n, digest, kind, number("x-refers-to-page"), digest == named and n == size, *[payload] * with_payload))
-                        held += n if with_payload else 0
-                        if len(out) >= 4096 or held > 16 * READ:
-                            yield _frame(out, columns)
-                            out, held = [], 0
-                if out:
-                    yield _frame(out, columns)
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid", *["payload"] * with_payload]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), *[pa.binary()] * with_payload]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, start in ((p, s) for batch in batches for p, s in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            out, held = [], 0
+            with _open(path) as source:
+                for h, block in records(source, start, start + split):
+                    kind = h.get("warc-type")
+                    if kind not in ("response", "revisit"):
+                        continue
+                    named, size = h.get("warc-payload-digest", "").removeprefix("sha256:"), int(h.get("x-payload-length", -1))
+                    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
+                    digest, n = (named, size) if payload is None else (hashlib.sha256(payload).hexdigest(), len(payload))
+                    number = lambda k: int(h[k]) if k in h else None  # noqa: E731, B023
+                    out.append((number("x-page-id"), h.get("warc-target-uri"), n, digest, kind, number("x-refers-to-page"), digest == named and n == size, *[payload] * with_payload))
+                    held += n if with_payload else 0
+                    if len(out) >= 4096 or held > 16 * READ:
+                        yield made(out)
+                        out, held = [], 0
+            if out:
+                yield made(out)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, valid boolean"
-    return ranges.repartition("path", "start").mapInPandas(read, schema + ", payload binary" * with_payload)
-
-
-def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=columns)
-    return frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+    # A number, so that ranges, which are a few bytes each, aren't put together again.
+    tasks = min(max(ranges.count(), 1), TASKS)
+    return ranges.repartition(tasks, "path", "start").mapInArrow(read, schema + ", payload binary" * with_payload)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
