@@ -54,7 +54,9 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
     With class prior p, positives P and unlabelled U the risk is
     p E_P[l(+)] + max(0, E_U[l(-)] - p E_P[l(-)]). The second part estimates the risk on
     negatives; where it falls below zero the classifier is overfitted, and its gradient is
-    turned round. Without positives every score is the prior.
+    turned round. At last the bias is moved until the unlabelled rows score the prior on
+    average: a small sample would leave it anywhere. Without positives every score is the
+    prior.
     """
     prior = min(max(prior, 1e-3), 0.999)
     base = float(np.log(prior / (1 - prior)))
@@ -95,6 +97,11 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
         g[:n] += l2 * w[:n]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    zu, lo, hi = forward(*unl), -60.0, 60.0
+    for _ in range(60):
+        shift = (lo + hi) / 2
+        lo, hi = (lo, shift) if sigmoid(zu + shift).mean() > prior else (shift, hi)
+    w[n] += lo
     names = list(vocabulary)
     return Model({names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w[:n]) > 1e-3)}, float(w[n]))
 
