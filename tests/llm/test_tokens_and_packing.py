@@ -95,4 +95,8 @@ def test_sum_of_squares_is_the_rule():
         assert (b in options and options[b] == min(options.values())) if options else b not in used
         assert used.get(b, 0) == at
         used[b] = at + size
-    assert len(used) <= -(-lengths.sum() // 40) + 1
+    # No packing can have fewer bins: for each size k, large pieces need bins of their own and
+    # what of the sizes k to 20 doesn't fit beside them needs more.
+    large = [lengths[(lengths > 20) & (lengths <= 40 - k)] for k in range(21)]
+    rest = [lengths[(lengths >= k) & (lengths <= 20)].sum() - (40 * len(x) - x.sum()) for k, x in enumerate(large)]
+    assert len(used) == max((lengths > 40 - k).sum() + len(x) + max(0, -(-r // 40)) for k, (x, r) in enumerate(zip(large, rest, strict=True)))
