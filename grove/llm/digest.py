@@ -148,10 +148,10 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     done = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text").mapInArrow(walk, schema), "digests")
     # One row for each partition that has rows: its place in the order.
-    places = done.where(F.col("head").isNotNull()).select("part").withColumn("place", F.row_number().over(Window.orderBy("part")))
-    last = places.agg(F.max("place").alias("last"))
-    heads = done.where(F.col("head").isNotNull()).select("part", "head").join(places, "part").select(F.col("place").alias("next"), F.col("head").alias("following"))
-    following = places.crossJoin(F.broadcast(last)).select("part", (F.col("place") % F.col("last") + 1).alias("next")).join(heads, "next").drop("next")
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    places = done.where(F.col("head").isNotNull()).select("part", "head", F.row_number().over(Window.orderBy("part")).alias("place"), F.count("*").over(every).alias("last"))
+    heads = places.select(F.col("place").alias("next"), F.col("head").alias("following"))
+    following = places.select("part", (F.col("place") % F.col("last") + 1).cast("int").alias("next")).join(heads, "next").drop("next")
 
     @F.pandas_udf("edited_sha256 string, edited_fingerprint string, near_edited double, near_next double")
     def finish(text: pd.Series, after: pd.Series) -> pd.DataFrame:

@@ -15,7 +15,7 @@ from .secrets import OP4_SQL, op4_secret_scans
 from .simhash import op5_simhash_near_dedup
 from .tokens import op2_token_counts
 from .toxicity import op7_toxicity
-from .warc import op8_warc
+from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scans": OP4_SQL}
+    return {"op4_secret_scans": OP4_SQL, "op8_warc": OP8_SQL}

@@ -216,3 +216,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{work_dir(spark)}/grove-warc-{uuid.uuid4().hex}"
     archives = write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "valid")
+
+
+# The query's rows without archives: what was written is what is read.
+OP8_SQL = f"""
+with payloads as (select page_id, url, coalesce(html, '') as html from pages),
+digests as (select *, sha256(html) as payload_digest, cast(strlen(html) as bigint) as payload_bytes from payloads),
+firsts as (select *, case when payload_bytes >= {SHORTEST} then min(page_id) over (partition by payload_digest) else page_id end as first from digests)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to, url, true as valid
+from firsts"""
