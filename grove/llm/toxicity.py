@@ -62,15 +62,19 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
     base = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return Model({}, base)
-    features = lambda text: [f for w in set(WORD.findall(text.lower())) for f in _of_word(w)]
-    bags, others = [features(t) for t in positive], [features(t) for t in unlabelled]
-    in_p, in_u = (Counter(f for bag in x for f in set(bag)) for x in (bags, others))
-    # Features are kept that stand in enough positives, and there oftener than at large.
-    least = max(3, LEAST * len(bags))
-    chosen = [f for f, n in in_p.items() if n >= least and n / len(bags) >= LIFT * in_u[f] / len(others)]
-    vocabulary = {f: i for i, f in enumerate(sorted(chosen))}
-    rows = lambda bags: [np.array([vocabulary[f] for f in bag if f in vocabulary], np.int64) for bag in bags]
-    pos, unl = rows(bags), rows(others)
+    features = lambda text: (f for w in set(WORD.findall(text.lower())) for f in _of_word(w))
+    # Features are kept that stand in enough positives, and there oftener than at large. Only
+    # those of the first kind are looked for in the other rows, so little is held.
+    in_p = Counter(f for t in positive for f in set(features(t)))
+    least = max(3, LEAST * len(positive))
+    number = {f: i for i, f in enumerate(sorted(f for f, n in in_p.items() if n >= least))}
+    bags, others = ([np.sort(np.array([number[f] for f in features(t) if f in number], np.int64)) for t in x] for x in (positive, unlabelled))
+    in_u = np.bincount(np.concatenate([np.unique(b) for b in others]), minlength=len(number))
+    chosen = [f for f, i in number.items() if in_p[f] / len(positive) >= LIFT * in_u[i] / len(unlabelled)]
+    vocabulary = {f: i for i, f in enumerate(chosen)}
+    place = np.full(len(number), -1)
+    place[[number[f] for f in chosen]] = np.arange(len(chosen))
+    pos, unl = ([y[y >= 0] for y in (place[b] for b in x)] for x in (bags, others))
     n = len(vocabulary)
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     w[n] = base
