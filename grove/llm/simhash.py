@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from .arrow import utf8
 from .components import components
+from .jaccard import shingle_node, similar_groups
 from .shared import fresh, materialize, table
 
 SEED = 42
@@ -173,24 +174,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return own.join(groups, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 7) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each group the row with the smallest id.
 
-    Several rows with that id: one stays, the same in every run (by hash of the text, then
-    the other columns as JSON). Rows without an id go if a row with an id is in their group;
-    else one stays for each fingerprint.
+    Groups are of texts that can be reached through pairs whose sets of shingles have that
+    Jaccard similarity at least. Several rows with that id: one stays, the same in every run
+    (by hash of the text, then the other columns as JSON). Rows without an id go if a row
+    with an id is in their group; else one stays for each group.
     """
-    fp, rank = fresh(df, "fingerprint"), fresh(df, "rank")
-    found = near_duplicates(df, id_col, text_col, words, max_bits)
-    rows = df.join(found.where(F.col(id_col) == F.col("component_id")).select(id_col), id_col, "left_semi")
+    group, rank, number = (fresh(df, stem) for stem in ("group", "rank", "node"))
+    own, groups = similar_groups(df, id_col, text_col, words, similarity)
+    chosen = own.join(groups, "node").where("id = component_id").select(F.col("id").alias(id_col)).distinct()
+    rows = df.join(chosen, id_col, "left_semi")
     # Ids that stand in several rows are few or none; only their rows are ranked.
     repeated = df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
     once, often = rows.join(repeated, id_col, "left_anti"), rows.join(repeated, id_col, "left_semi")
-    hexed = F.lpad(F.lower(F.hex(fingerprint(F.col(text_col), words))), 16, "0")
-    alone = found.where(F.col("component_id").isNull()).select(F.col("fingerprint").alias(fp))
-    nameless = df.where(F.col(id_col).isNull()).withColumn(fp, hexed).join(alone, fp, "left_semi")
-    ranked = often.withColumn(fp, F.lit("")).unionByName(nameless)
-    order = Window.partitionBy(id_col, fp).orderBy(F.xxhash64(text_col), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    alone = groups.where("component_id is null").select(F.col("node").alias(number), F.col("root").alias(group))
+    nameless = df.where(F.col(id_col).isNull()).withColumn(number, shingle_node(F.col(text_col), words)).join(alone, number).drop(number)
+    ranked = often.withColumn(group, F.lit(0).cast("long")).unionByName(nameless)
+    order = Window.partitionBy(id_col, group).orderBy(F.xxhash64(text_col), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     first = ranked.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
     return once.select(*df.columns).unionByName(first.select(*df.columns))
 
