@@ -18,7 +18,7 @@ BATCH = 64 << 20  # bytes of text that are scored together
 SMALL = 4_000_000  # trusted ids up to which they are broadcast; more are joined by shuffle
 FOLDS = 5  # one of so many trusted texts is kept from training, to set thresholds
 QUANTILE = 0.99  # of those texts, by language
-MARGIN = 1.25  # perplexity above that quantile, as a factor, that is still kept
+FEW = 100  # a language with fewer of those texts is held to the quantile over all languages
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
@@ -162,14 +162,16 @@ def perplexities(documents: DataFrame, model: list[tuple[DataFrame, DataFrame]],
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, schema)
 
 
-def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, few: int = FEW) -> DataFrame:
     """``id_col, lang, n_bytes, perplexity, threshold, keep`` of every row.
 
     Of the rows whose id is among ``trusted_ids``, one of ``FOLDS`` by a hash of the id sets
-    thresholds, the others train the model. A language's threshold is ``margin`` times that
-    quantile of their perplexities; rows without a language are a language of their own. A row is kept if it has a perplexity no higher than
-    the threshold; rows of a language without such rows have no threshold and are kept;
-    empty and null texts are not. Other columns are not looked at.
+    thresholds, the others train the model. A language's threshold is that quantile of their
+    perplexities; rows without a language are a language of their own. A language with under
+    ``few`` such texts has no threshold of its own (null) and is held to the quantile over
+    all languages. A row is kept if it has a perplexity no higher than that; empty and null
+    texts have none and are not kept. Only if no such text has a perplexity at all, nothing
+    is known and every row with a perplexity is kept. Other columns are not looked at.
     """
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     ids = materialize(trusted_ids.select(F.col(id_col).alias("id")).where("id is not null").distinct(), "trusted")
@@ -177,9 +179,12 @@ def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     aside = F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0
     model = train(rows.join(side(ids.where(~aside)), "id", "left_semi").select("text"), order)
     scores = materialize(perplexities(rows, model, "id", "text"), "perplexities")
-    limits = scores.join(side(ids.where(aside)), "id", "left_semi").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
-    limits = limits.select(F.col("lang").alias("of"), "threshold")
-    kept = F.coalesce(F.col("perplexity") <= F.coalesce("threshold", F.lit(float("inf"))), F.lit(False))
+    held = materialize(scores.join(side(ids.where(aside)), "id", "left_semi").where("perplexity is not null").select("lang", "perplexity"), "held")
+    bound = F.percentile_approx("perplexity", quantile, 10_000)
+    overall = held.agg(bound).first()[0]
+    limits = held.groupBy("lang").agg(bound.alias("threshold"), F.count("*").alias("n")).where(F.col("n") >= few).select(F.col("lang").alias("of"), "threshold")
+    limit = F.coalesce("threshold", F.lit(float("inf") if overall is None else overall))
+    kept = F.coalesce(F.col("perplexity") <= limit, F.lit(False))
     return scores.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("of")), "left").select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_bytes", "perplexity", "threshold", kept.alias("keep"))
 
 
