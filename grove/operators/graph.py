@@ -54,6 +54,38 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, stop: D
     return seen
 
 
+def jumps(edges: DataFrame) -> DataFrame:
+    """``src, dst, hops``: the edges of a graph without cycles, and from each node the ends of
+    2, 4, 8, ... hops along one chosen edge a node, found by pointer doubling."""
+    edges = settle(edges.where("dst is not null").select("src", "dst", F.lit(1).cast("long").alias("hops")).distinct())
+    # Later commits have greater numbers as a rule, so the greatest parent makes long chains.
+    last = settle(edges.groupBy("src").agg(F.max("dst").alias("dst"), F.max("hops").alias("hops")))
+    most, length, out = last.count(), 1, edges
+    while 2 * length <= most:
+        then = last.select(F.col("src").alias("dst"), F.col("dst").alias("_to"), F.col("hops").alias("_more"))
+        last = settle(last.join(then, "dst").select("src", F.col("_to").alias("dst"), (F.col("hops") + F.col("_more")).alias("hops")))
+        if last.isEmpty():
+            break
+        out, length = out.unionByName(last), 2 * length
+    return settle(out.groupBy("src", "dst").agg(F.min("hops").alias("hops")))
+
+
+def reach_far(edges: DataFrame, starts: DataFrame, levels: bool = True) -> DataFrame:
+    """``reach`` to any depth over a graph without cycles, in rounds that grow with the
+    logarithm of its chains: rows go over ``jumps``. With ``levels`` the search goes on while
+    a lower level is found; without, levels are of the path that was found first."""
+    hops = jumps(edges)
+    seen = front = settle(starts.select("origin", "node", F.lit(0).cast("long").alias("level")).distinct())
+    while True:
+        new = front.join(hops, F.col("node") == F.col("src")).groupBy("origin", F.col("dst").alias("node")).agg(F.min(F.col("level") + F.col("hops")).alias("level"))
+        known = new.join(seen.withColumnRenamed("level", "_known"), ["origin", "node"], "left")
+        better = F.col("_known").isNull() | (F.col("level") < F.col("_known")) if levels else F.col("_known").isNull()
+        front = settle(known.where(better).select("origin", "node", "level"))
+        if front.isEmpty():
+            return seen
+        seen = settle(seen.join(front.select("origin", "node"), ["origin", "node"], "left_anti").unionByName(front))
+
+
 def parents(commits: DataFrame) -> DataFrame:
     """Commit edges as ``src, dst``."""
     return commits.select(F.col("commit").alias("src"), F.col("parent").alias("dst")).where("dst is not null")
@@ -63,7 +95,8 @@ def history(commits: DataFrame, head: int, depth: int | None = None, least: Data
     """Vertices (``commit, level``) and edges (``parent, commit``) of the past of ``head``;
     nothing is gone beyond ``depth`` levels or the commits of ``least``."""
     start = commits.sparkSession.range(1).select(F.lit(0).alias("origin"), F.lit(head).cast("long").alias("node"))
-    found = reach(parents(commits), start, depth, least).select(F.col("node").alias("commit"), "level")
+    past = reach_far(parents(commits), start) if depth is None and least is None else reach(parents(commits), start, depth, least)
+    found = past.select(F.col("node").alias("commit"), "level")
     kept = found.select("commit")
     edges = commits.where("parent is not null").select("parent", "commit").distinct().join(kept, "commit", "left_semi").join(kept.withColumnRenamed("commit", "parent"), "parent", "left_semi")
     return found, edges
@@ -89,7 +122,8 @@ def lcas(commits: DataFrame, pairs: DataFrame, max_depth: int | None = None, n:
         raise LcaError("too_many_lcas")
     heads = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     edges = parents(commits)
-    past = settle(reach(edges, heads.select(F.col("node").alias("origin"), "node"), max_depth))
+    starts = heads.select(F.col("node").alias("origin"), "node")
+    past = reach_far(edges, starts, levels=False) if max_depth is None else settle(reach(edges, starts, max_depth))
     if max_depth is not None:
         cut = past.where(F.col("level") == max_depth).join(edges, F.col("node") == F.col("src"), "left_semi").select("origin").distinct()
     side = lambda name: past.select(F.col("origin").alias(name), F.col("node").alias("lca"))

@@ -48,6 +48,27 @@ def fast_forward(s: SparkSession, d: str) -> DataFrame:
     return G.fast_forwards(c, moves)
 
 
+def commit_history_all(s: SparkSession, d: str) -> DataFrame:
+    """The whole past of the last commit."""
+    c = G.settle(commits(s, d))
+    return G.history(c, _head(c))[0]
+
+
+def _mirrored(c: DataFrame) -> DataFrame:
+    """``a, b``: every fiftieth commit and the one as far from the other end of the table."""
+    return c.where("commit % 50 = 0").select(F.col("commit").alias("a"), (F.lit(_head(c) + 1) - F.col("commit")).alias("b")).distinct()
+
+
+def lcas_pairs_all(s: SparkSession, d: str) -> DataFrame:
+    c = G.settle(commits(s, d))
+    return G.lcas(c, _mirrored(c))
+
+
+def fast_forward_all(s: SparkSession, d: str) -> DataFrame:
+    c = G.settle(commits(s, d))
+    return G.fast_forwards(c, _mirrored(c).select(F.col("a").alias("head"), F.col("b").alias("target")))
+
+
 _ANC = """anc as (select commit as a, commit as x from commits where commit <= 60 union select a, parent from anc join commits on x = commit where parent is not null),
 common as (select p.a, p.b, u.x from pairs p join anc u on u.a = p.a join anc v on v.a = p.b and v.x = u.x),
 lca as (select a, b, x as lca from common c where not exists (select 1 from common e join anc z on z.a = e.x and z.x = c.x where e.a = c.a and e.b = c.b and e.x <> c.x))"""
@@ -186,6 +207,9 @@ QUERIES = {
     "commit_closure": (commit_closure, f"with recursive {COMMITS}, walk as (select max(commit) as commit, 0 as level from numbered union select parent, level + 1 from walk join commits using (commit) where parent is not null and level < 40 and commit % 50 <> 0) select distinct commit from walk"),
     "lcas_pairs": (lcas_pairs, f"with recursive {COMMITS}, pairs as (select range * 6 as a, 61 - range * 5 as b from range(1, 10)), {_ANC} select a, b, lca from lca"),
     "fast_forward": (fast_forward, f"with recursive {COMMITS}, moves as (select case when range > 0 then range * 4 end as head, range * 17 % 59 + 1 as target from range(12)), pairs as (select head as a, target as b from moves where head is not null), {_ANC} select head, target, case when head is null then 'ok' when head = target then 'no_change' when (select count(*) from lca where a = head and b = target) = 1 and (select min(lca) from lca where a = head and b = target) = head then 'ok' else 'rejected' end as result from moves"),
+    "commit_history_all": (commit_history_all, None),
+    "lcas_pairs_all": (lcas_pairs_all, None),
+    "fast_forward_all": (fast_forward_all, None),
     "graph_ends": (graph_ends, f"with {COMMITS}, e as (select commit as src, parent as dst from commits where commit % 100 <> 0) select src as node, 'max' as place from e where src not in (select dst from e where dst is not null) group by src union select dst, 'min' from e where dst is not null and dst not in (select src from e where dst is not null)"),
     "heads": (heads, "select event_type as branch, max(event_id) as head, count(*) as commits from events group by event_type"),
     "last_modified": (last_modified, LAST),
