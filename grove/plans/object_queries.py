@@ -129,14 +129,24 @@ def slice_import(s: SparkSession, d: str) -> DataFrame:
     return O.import_slice(half(0), half(1)).select("hash")
 
 
-def gc_live(s: SparkSession, d: str) -> DataFrame:
-    """Leaves that commits of the last third reach, of trees that share customers."""
+def _live(s: SparkSession, d: str, first: int, end: int) -> DataFrame:
+    """Leaves that commits ``first`` to ``end`` - 1 of ninety reach, of trees that share customers."""
     rows = geo(s, d)
     edges = rows.select(F.concat(F.lit("c"), (F.col("key") % 90).cast("string")).alias("src"), F.sha1(F.array_join(F.slice("path", 1, 3), "/")).alias("dst")).unionByName(rows.select(F.sha1(F.array_join(F.slice("path", 1, 3), "/")).alias("src"), F.sha1(F.array_join("path", "/")).alias("dst"))).distinct()
-    roots = s.range(60, 62).select(F.lit(0).alias("origin"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("node"))
+    roots = s.range(first, end).select(F.lit(0).alias("origin"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("node"))
     return G.reach(edges, roots).groupBy("level").agg(F.count("*").alias("live"))
 
 
+def gc_live(s: SparkSession, d: str) -> DataFrame:
+    """From two commits, as in its SQL."""
+    return _live(s, d, 60, 62)
+
+
+def gc_live_all(s: SparkSession, d: str) -> DataFrame:
+    """From the last third of the commits."""
+    return _live(s, d, 60, 90)
+
+
 _RANGES = "select distinct l_orderkey * 40 + l_linenumber * 5 as off, cast(l_quantity as bigint) % 9 + 1 as len from lineitem"
 
 
@@ -220,6 +230,7 @@ QUERIES = {
     "traversal_stats": (traversal_stats, "with o as (select 'contents' as kind, text as v from documents union all select 'node', cast(o_custkey as varchar) from orders join customer on o_custkey = c_custkey) select kind, count(*) as entries, count(distinct v) as distinct_entries, count(*) - count(distinct v) as duplicates from o group by kind"),
     "slice_import": (slice_import, "select distinct sha1('B' || text) as hash from documents where doc_id % 2 = 1 and text not in (select text from documents where doc_id % 2 = 0)"),
     "gc_live": (gc_live, "with g as (select o_orderkey as key, c_custkey as c from orders join customer on o_custkey = c_custkey), l as (select distinct c from g where key % 90 in (60, 61)) select 0 as level, 2 as live union all select 1, count(*) from l union all select 2, count(*) from g where c in (select c from l)"),
+    "gc_live_all": (gc_live_all, "with g as (select o_orderkey as key, c_custkey as c from orders join customer on o_custkey = c_custkey), l as (select distinct c from g where key % 90 >= 60) select 0 as level, 30 as live union all select 1, count(*) from l union all select 2, count(*) from g where c in (select c from l)"),
     "gc_ranges": (gc_ranges, f"with {_ISLANDS} select off, len from islands"),
     "range_lookup": (range_lookup, f"with {_ISLANDS}, q as (select distinct o_orderkey * 41 + 3 as x from orders), n as (select x, (select min(off) from islands where off + len - 1 >= x) as off from q) select x, off, case when off is null then 'after' when x >= off then 'inside' else 'before' end as place from n"),
     "chunk_split": (chunk_split, "with v as (select distinct html from pages) select sha1('B' || html) as hash, place, md5(substr(html, place * 400 + 1, 400)) as chunk from (select html, unnest(range(0, greatest(cast(ceil(length(html) / 400.0) as bigint), 1))) as place from v)"),

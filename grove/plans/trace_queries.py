@@ -27,6 +27,11 @@ def ema_evolution(s: SparkSession, d: str) -> DataFrame:
     return T.ema(trace(s, d).where("row_idx < 400"), "row_idx", "duration", 0.5, ("op",)).select("op", "row_idx", F.round("ema", 6).alias("ema"))
 
 
+def ema_evolution_all(s: SparkSession, d: str) -> DataFrame:
+    """The averages of all rows, carried from block to block; as SQL a self-join of the trace."""
+    return T.ema(trace(s, d), "row_idx", "duration", 0.5, ("op",)).select("op", "row_idx", F.round("ema", 6).alias("ema"))
+
+
 def ema_relevant(s: SparkSession, d: str) -> DataFrame:
     """One slow average over the whole trace, null until it is relevant."""
     return T.ema(trace(s, d), "row_idx", "duration", T.momentum(100.0), (), 0.01).select("row_idx", F.round("ema", 5).alias("ema"))
@@ -73,6 +78,7 @@ QUERIES = {
     "span_summary": (span_summary, f"with {BLOCKS}, per as (select block, span, count(*) as n, sum(duration) as duration from (select block, duration, unnest(case when op = 'Commit' then ['Commit', 'Block'] else [op, 'Buildup', 'Block'] end) as span from blocks) group by all) select block, span, n, round(duration, 4) as duration, sum(n) over w as total_n, round(sum(duration) over w, 3) as total_duration from per window w as (partition by span order by block)"),
     "bag_diffs": (bag_diffs, f"with {TRACE} select row_idx, duration, lag(duration) over (order by row_idx) as before, round(duration - lag(duration) over (order by row_idx), 4) as change from trace where op = 'Commit'"),
     "ema_evolution": (ema_evolution, f"with {TRACE}, r as (select op, row_idx, duration, row_number() over (partition by op order by row_idx) as n from trace where row_idx < 400) select a.op, a.row_idx, round(sum(b.duration * pow(0.5, a.n - b.n) * 0.5) / (1 - pow(0.5, a.n)), 6) as ema from r a join r b on a.op = b.op and b.n <= a.n group by a.op, a.row_idx, a.n"),
+    "ema_evolution_all": (ema_evolution_all, None),
     "ema_relevant": (ema_relevant, None),
     "resample_linear": (resample_linear, f"with {TRACE}, n as (select count(*) as n from trace), p as (select range as place, range * (n - 1) / 200.0 as pos from range(201), n), q as (select place, pos, cast(floor(round(pos, 9)) as bigint) as lo, cast(ceil(round(pos, 9)) as bigint) as hi from p) select place, round(a.duration + (b.duration - a.duration) * (round(pos, 9) - lo), 6) as value from q join trace a on a.row_idx = lo join trace b on b.row_idx = hi"),
     "resample_next": (resample_next, f"with {TRACE}, n as (select count(*) as n from trace) select range as place, duration as value from range(201), n, trace where row_idx = cast(ceil(round(range * (n - 1) / 200.0, 9)) as bigint)"),

@@ -162,20 +162,26 @@ l0 as ({_level("'/'", "cast([] as varchar[])", "steps[1]", "l1")})
 select path, hash from l3 union all select path, hash from l2 union all select path, hash from l1 union all select path, hash from l0"""
 
 
-def _catalogue(s: SparkSession, d: str) -> DataFrame:
+def _catalogue(s: SparkSession, d: str, sizes: str = "true") -> DataFrame:
     """A leaf for each size of a part type of a brand: many equal directories."""
-    p = table(s, d, "part").where("p_size <= 5")
+    p = table(s, d, "part").where(sizes)
     return p.select(F.array("p_brand", "p_type", F.col("p_size").cast("string")).alias("path"), F.lit("1").alias("value"), F.lit(None).cast("string").alias("metadata")).distinct()
 
 
 def tree_fold_uniq(s: SparkSession, d: str) -> DataFrame:
     """Different directories of the second level, each with its first path."""
+    return shown(T.unique_visits(_catalogue(s, d, "p_size <= 5")).where(F.size("path") == 2)).select("path")
+
+
+def tree_fold_uniq_all(s: SparkSession, d: str) -> DataFrame:
+    """The same over parts of all sizes."""
     return shown(T.unique_visits(_catalogue(s, d)).where(F.size("path") == 2)).select("path")
 
 
 UNIQ = """with leaves as (select distinct p_brand as b, p_type as t, cast(p_size as varchar) as s from part where p_size <= 5),
 dirs as (select b, t, string_agg(s, ',' order by s) as entries from leaves group by all)
 select '/' || min(struct_pack(b := b, t := t)).b || '/' || min(struct_pack(b := b, t := t)).t as path from dirs group by entries"""
+UNIQ_ALL = UNIQ.replace(" where p_size <= 5", "")
 
 
 def tree_diff(s: SparkSession, d: str) -> DataFrame:
@@ -245,6 +251,7 @@ QUERIES = {
     "stat_store_widths": (stat_store_widths, f"with {GEO}, {CHILDREN}, w as (select parent, count(*) as n from kids group by parent), near as (select sum(n - 1) as siblings from (select path, unnest(['/', '/' || s1, '/' || s1 || '/' || s2, '/' || s1 || '/' || s2 || '/' || s3]) as parent from geo) join w using (parent) group by path) select (select max(n) from w) as width, (select parent from w order by n desc, parent desc limit 1) as widest, (select max(siblings) from near) as most_neighbours, 4 as longest, (select count(*) from geo) as n_longest"),
     "merkle_hashes": (merkle_hashes, MERKLE),
     "tree_fold_uniq": (tree_fold_uniq, UNIQ),
+    "tree_fold_uniq_all": (tree_fold_uniq_all, UNIQ_ALL),
     "tree_diff": (tree_diff, f"with {VERSIONS} select path, case when b.path is null then 'added' when o.path is null then 'removed' else 'updated' end as kind, b.value as old_value, b.metadata as old_metadata, o.value as new_value, o.metadata as new_metadata from base b full outer join ours o using (path) where b.value is distinct from o.value or b.metadata is distinct from o.metadata"),
     "diff_patch": (diff_patch, f"with {VERSIONS} select path, value, metadata from theirs"),
     "tree_equal": (tree_equal, "select 'base base' as pair, true as same union all select 'base ours', false"),
