@@ -15,11 +15,16 @@ A pre-token never looks beyond itself, so counts of distinct pre-tokens are kept
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
+from itertools import pairwise
 
 import numpy as np
 
+from .arrow import runs
+
 # Character classes of the split pattern
 #   's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 LETTER, NUMBER, SPACE, BLANK, OTHER, QUOTE, SHORT, R, E, V, LL, END = range(12)
@@ -30,6 +35,7 @@ WIDTH = 16
 STATES = 12
 SPECIAL = "<|endoftext|>"
 CHUNK = 256
+NEAR = 4096  # bytes before the end of a slice from which a place to cut is looked for
 
 
 def _kind(cls: int) -> int:
@@ -138,33 +144,26 @@ def _marks(classes: np.ndarray) -> np.ndarray:
     return starts[:n]
 
 
-class _State:
-    """``held``: for every live suffix length, the last token before that suffix (None at
-    the start of the pre-token) and the number of tokens up to there, less those up to here."""
-
-    __slots__ = ("suffix", "held", "moves")
-
-    def __init__(self, suffix: bytes, held: dict):
-        self.suffix, self.held = suffix, held
-        self.moves: dict[int, tuple[_State, int]] = {}
-
-
 class Compiled:
-    """The count transducer of one vocabulary file, with the counts and ids of pre-tokens."""
+    """The count transducer of one vocabulary file, with the counts or ids of pre-tokens.
+
+    What a worker remembers is bounded in bytes (``WORDS``) and in states (``STATES_KEPT``);
+    beyond that it starts afresh, which changes no result.
+    """
 
-    KEEP = 600_000  # pre-tokens and states that a worker remembers; beyond it, it starts afresh
+    WORDS = 16 << 20  # bytes of pre-tokens and what is known of them
+    LONG = 256  # a longer pre-token is not remembered
+    STATES_KEPT = 120_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.printable = _printable()
-        to_byte = {c: b for b, c in self.printable.items()}
+        to_byte = {c: b for b, c in _printable().items()}
         raw = lambda s: bytes(to_byte[c] for c in s)
         vocab = spec["model"]["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.ids = {raw(t): i for t, i in vocab.items() if t != SPECIAL}
-        self.special = next(t["id"] for t in spec["added_tokens"] if t["content"] == SPECIAL)
         self.path = path
+        self.ids = {raw(t): i for t, i in vocab.items() if t != SPECIAL}
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, (a, b) in enumerate(merges):
@@ -173,14 +172,19 @@ class Compiled:
             self.parts.setdefault(z, (rank, x, y))
         self.longest = max(map(len, self.ids))
         self.prefixes = {t[:k] for t in self.ids for k in range(1, len(t))}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.start = _State(b"", {0: (None, 0)})
-        self.states: dict[tuple, _State] = {}
-        self.valid: dict[tuple[int, int], bool] = {}
+        self.words: dict[bytes, int] = {}
+        self.held = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        # A state: the longest live suffix, and for each live suffix its length, the last token
+        # before it (None at the start of the pre-token) and the number of tokens up to there,
+        # less those up to here. Moves are by state * 256 + byte.
+        self.states: list[tuple[bytes, tuple]] = [(b"", ((0, None, 0),))]
+        self.numbers = {self.states[0]: 0}
+        self.moves: dict[int, tuple[int, int]] = {}
+        self.valid: dict[int, bool] = {}
         self.tails: dict[bytes, tuple[bytes, tuple, list]] = {}
-        self.words: dict[int, tuple[int, int, bytes]] = {}
 
     def _stays(self, left: int, right: int) -> bool:
         """Whether BPE keeps ``left`` and ``right`` apart when they stand side by side.
@@ -189,7 +193,7 @@ class Compiled:
         border at each moment must not have a merge that would have come before the merge
         that was just undone.
         """
-        key = (left, right)
+        key = left << 16 | right
         if (known := self.valid.get(key)) is not None:
             return known
         never = len(self.pairs)
@@ -218,112 +222,132 @@ class Compiled:
         tokens = [(k - 1, t) for k in range(min(n, self.longest), 0, -1) if (t := self.ids.get(text[n - k :])) is not None]
         return text[n - live[0] :] if live else b"", live, tokens
 
-    def _move(self, state: _State, byte: int) -> tuple[_State, int]:
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
         """The transition on a byte, and the tokens that it adds."""
-        text = state.suffix + bytes((byte,))
+        suffix, held = self.states[state]
+        text = suffix + bytes((byte,))
         known = self.tails.get(text)
         if known is None:
             known = self.tails[text] = self._tail(text)
         suffix, live, tokens = known
-        held = state.held
+        at = {k: (before, n) for k, before, n in held}
         for k, token in tokens:
-            before, count = held[k]
+            before, count = at[k]
             if before is None or self._stays(before, token):
                 break
         count += 1
-        kept = {k: (held[k - 1][0], held[k - 1][1] - count) for k in live}
-        kept[0] = (token, 0)
-        key = (suffix, *kept.values())
-        found = self.states.get(key)
-        if found is None:
-            found = self.states[key] = _State(suffix, kept)
-        state.moves[byte] = made = (found, count)
+        key = (suffix, (*((k, at[k - 1][0], at[k - 1][1] - count) for k in live), (0, token, 0)))
+        found = self.numbers.setdefault(key, len(self.states))
+        if found == len(self.states):
+            self.states.append(key)
+        made = self.moves[state << 8 | byte] = (found, count)
         return made
 
     def count(self, word: bytes) -> int:
-        state, total = self.start, 0
+        state, total, moves = 0, 0, self.moves
         for b in word:
-            state, more = state.moves.get(b) or self._move(state, b)
+            state, more = moves.get(state << 8 | b) or self._move(state, b)
             total += more
         return total
 
-    def encode(self, word: bytes) -> list[int]:
-        """Token ids of one pre-token, from the library's own model."""
-        return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.printable))]
-
-    def split(self, data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pre-tokens of UTF-8 texts that lie side by side (``lengths`` in bytes): where each
-        starts, its number of bytes, and the text that it belongs to."""
-        points = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
-        wide = (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000) + 1
-        at = np.cumsum(wide) - wide
-        ends = np.cumsum(lengths)
-        text_of = np.searchsorted(ends, at, side="right")
-        classes = np.full(len(points) + len(lengths), END, np.uint8)
-        places = np.arange(len(points)) + text_of
-        classes[places] = _classes()[points]
-        first = np.flatnonzero(_marks(classes)[places])
-        starts = at[first]
-        owner = text_of[first]
-        stops = np.concatenate([starts[1:], [len(data)]]).astype(np.int64) if len(starts) else starts
-        return starts, stops - starts, owner
-
-    def distinct(self, data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pre-tokens by a fingerprint of 128 bits: a place and fingerprint of each,
-        and which one every pre-token is."""
-        raw = np.frombuffer(data, np.uint8)
-        lanes = []
-        for lane in range(2):
-            noise, powers, inverses = _hashing(lane, 1 << max(16, int(len(raw)).bit_length()))
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(noise[raw] * powers[: len(raw)], out=sums[1:])
-            lanes.append((sums[starts + sizes] - sums[starts]) * inverses[starts])
-        a, b = lanes
-        a += sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        _, first, which = np.unique(a, return_index=True, return_inverse=True)
-        if not (b == b[first][which]).all():
-            pair = np.stack([a, b], axis=1)
-            _, first, which = np.unique(pair, axis=0, return_index=True, return_inverse=True)
-            which = which.reshape(-1)
-        keys = [(x << 64) | y for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True)]
-        return first, np.array(keys, object), which
-
-    def lookup(self, data: bytes, starts: np.ndarray, sizes: np.ndarray, ids: bool) -> tuple[list, np.ndarray]:
-        """What is known of each distinct pre-token (its count, or its ids as bytes), and
-        which one every pre-token is."""
-        first, keys, which = self.distinct(data, starts, sizes)
-        if len(self.words) > self.KEEP or len(self.states) > self.KEEP:
-            self._reset()
-        words, out = self.words, []
-        at, size = starts[first].tolist(), sizes[first].tolist()
-        for i, key in enumerate(keys.tolist()):
-            got = words.get(key)
-            if got is None:
-                word = data[at[i] : at[i] + size[i]]
-                got = words[key] = np.array(self.encode(word), np.uint32).tobytes() if ids else self.count(word)
-            out.append(got)
-        return out, which
+    def known(self, words: list[bytes]) -> list[int]:
+        """The number of tokens of each pre-token."""
+        if len(self.states) > self.STATES_KEPT or len(self.valid) > self.STATES_KEPT:
+            self._forget()
+        return _remembered(self, words, self.count)
 
     @cached_property
     def library(self):
-        """The tokenizers library over the same file."""
-        from tokenizers import Tokenizer
+        return _library(self.path)
 
-        return Tokenizer.from_file(self.path)
 
-    @cached_property
-    def model(self):
-        return self.library.model
+class Ids:
+    """Token ids of pre-tokens, from the library's own model, remembered as ``Compiled`` does."""
 
+    WORDS, LONG = Compiled.WORDS, Compiled.LONG
 
-@lru_cache(4)
-def _hashing(lane: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(1000 + lane)
-    noise = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    base = int(rng.integers(0, 1 << 60)) * 8 + 5
-    back = pow(base, -1, 1 << 64)
-    series = lambda x: np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size, x, np.uint64))])
-    return noise, series(base), series(back)
+    def __init__(self, path: str):
+        self.library = _library(path)
+        self.model, self.printable = self.library.model, _printable()
+        self.words: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def encode(self, word: bytes) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.printable))], "<u4").tobytes()
+
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, as little-endian bytes."""
+        return _remembered(self, words, self.encode)
+
+
+def _remembered(own: Compiled | Ids, words: list[bytes], find: Callable) -> list:
+    """``find`` of every word; words are told apart by their bytes."""
+    if own.held > own.WORDS:
+        own.words, own.held = {}, 0
+    out = list(map(own.words.get, words))
+    fresh: dict = {}
+    for i, got in enumerate(out):
+        if got is None:
+            word = words[i]
+            if (got := fresh.get(word)) is None:
+                got = fresh[word] = find(word)
+            out[i] = got
+    for word, got in fresh.items():
+        if len(word) <= own.LONG:
+            own.words[word] = got
+            own.held += 120 + len(word) + (len(got) if isinstance(got, bytes) else 0)
+    return out
+
+
+def split(data: bytes, lengths: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Pre-tokens of UTF-8 texts that lie side by side (``lengths`` in bytes), and the text
+    that each belongs to."""
+    points = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
+    wide = (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000) + 1
+    at = np.cumsum(wide) - wide
+    text_of = np.searchsorted(np.cumsum(lengths), at, side="right")
+    classes = np.full(len(points) + len(lengths), END, np.uint8)
+    places = np.arange(len(points)) + text_of
+    classes[places] = _classes()[points]
+    first = np.flatnonzero(_marks(classes)[places])
+    edges = [*at[first].tolist(), len(data)]
+    return [data[a:b] for a, b in pairwise(edges)], text_of[first]
+
+
+def slices(raw: memoryview, offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """Rows ``a`` to ``b`` with their bytes and lengths, up to ``limit`` bytes at a time.
+
+    A longer text comes in several parts, each of one row. A pre-token starts wherever white
+    space follows something else, so a cut there is one that the pattern makes anyway; text
+    without such a place near ``limit`` goes on to the next one.
+    """
+    for a, b in runs(offsets, limit):
+        lo, hi = int(offsets[a]), int(offsets[b])
+        while hi - lo > limit:
+            place = _CUT.search(raw, max(lo, lo + limit - NEAR), hi)
+            cut = place.start() + 1 - lo if place else hi - lo
+            yield a, b, bytes(raw[lo : lo + cut]), np.array([cut])
+            lo += cut
+        if hi > lo:
+            yield a, b, bytes(raw[lo:hi]), np.diff(offsets[a : b + 1]) if b - a > 1 else np.array([hi - lo])
+
+
+def with_special(raw: memoryview, offsets: np.ndarray) -> list[int]:
+    """The rows whose text holds the special token's string."""
+    found = [m.start() for m in re.finditer(re.escape(SPECIAL.encode()), raw)]
+    ends = np.array(found, np.int64) + len(SPECIAL)
+    row = np.searchsorted(offsets, found, side="right") - 1
+    return np.unique(row[ends <= offsets[row + 1]]).tolist() if found else []
+
+
+_CUT = re.compile(rb"[!-~][\x20\x09-\x0D]")
+
+
+def _library(path: str):
+    """The tokenizers library over the same file."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def _printable() -> dict[int, str]:
@@ -333,7 +357,13 @@ def _printable() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-@lru_cache(2)
-def compiled(path: str, ids: bool = False) -> Compiled:
-    """One transducer a worker and purpose."""
+@lru_cache(1)
+def compiled(path: str) -> Compiled:
+    """One transducer a worker."""
     return Compiled(path)
+
+
+@lru_cache(1)
+def ids(path: str) -> Ids:
+    """One table of ids a worker."""
+    return Ids(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import runs, utf8
-from .bpe import SPECIAL, compiled
+from .arrow import utf8
+from .bpe import ids as own_ids
+from .bpe import slices, split, with_special
 from .shared import table
 from .tokens import SLICE, vocabulary
 
@@ -24,51 +26,46 @@ GROUP = 8192  # documents that one task packs together
 def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Every document as ids and one end id, cut into pieces of at most ``capacity``.
 
-    Returns ``id_col, piece, start, length, ids_crc32`` and, ``with_ids``, ``ids``. Only a
-    document of more than ``capacity`` ids is cut; its first piece may be shorter, all
+    Returns ``id_col, piece, start, length, ids_crc32, copy`` and, ``with_ids``, ``ids``;
+    ``copy`` numbers rows of one id that came in one Arrow batch. Only a document of more than ``capacity`` ids is cut; its first piece may be shorter, all
     others are full. A null text is empty: its one piece holds the end id alone.
     """
     file = path or vocabulary()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = compiled(file, True)
+        bpe = own_ids(file)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            rows, out = [], []
-            for a, b in runs(offsets, SLICE):
-                data = bytes(raw[offsets[a] : offsets[b]])
-                known, which, owner = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if data:
-                    starts, sizes, owner = bpe.split(data, np.diff(offsets[a : b + 1]))
-                    known, which = bpe.lookup(data, starts, sizes, ids=True)
-                special = SPECIAL.encode() in data
-                parts = np.searchsorted(owner, np.arange(b - a + 1)).tolist()
-                which = which.tolist()
+            parts: list[list[bytes]] = [[] for _ in range(len(batch))]
+            for a, b, data, lengths in slices(raw, offsets, SLICE):
+                words, owner = split(data, lengths)
+                edges, known = np.searchsorted(owner, np.arange(b - a + 1)).tolist(), bpe.known(words)
                 for i in range(b - a):
-                    ids = None
-                    if special:
-                        text = bytes(raw[offsets[a + i] : offsets[a + i + 1]]).decode()
-                        if SPECIAL in text:
-                            ids = np.array(bpe.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                    if ids is None:
-                        ids = b"".join([known[w] for w in which[parts[i] : parts[i + 1]]])
-                    ids += end
-                    n = len(ids) // 4
-                    cut = n % capacity or capacity if n > capacity else n
-                    at, piece = 0, 0
-                    while at < n:
-                        own = ids[4 * at : 4 * cut]
-                        rows.append(a + i)
-                        out.append((piece, at, cut - at, zlib.crc32(own), own if with_ids else None))
-                        at, cut, piece = cut, cut + capacity, piece + 1
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:4])]
+                    parts[a + i].append(b"".join(known[edges[i] : edges[i + 1]]))
+            for i in with_special(raw, offsets):
+                parts[i] = [np.array(bpe.library.encode(bytes(raw[offsets[i] : offsets[i + 1]]).decode(), add_special_tokens=False).ids, "<u4").tobytes()]
+            rows, out = [], []
+            copies: Counter = Counter()
+            for i, (key, own) in enumerate(zip(batch.column(0).to_pylist(), parts, strict=True)):
+                copy = copies[key]
+                copies[key] += 1
+                whole = b"".join([*own, end])
+                n = len(whole) // 4
+                cut = n % capacity or capacity if n > capacity else n
+                at, piece = 0, 0
+                while at < n:
+                    cutting = whole[4 * at : 4 * cut]
+                    rows.append(i)
+                    out.append((piece, at, cut - at, zlib.crc32(cutting), copy, cutting if with_ids else None))
+                    at, cut, piece = cut, cut + capacity, piece + 1
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:5])]
             if with_ids:
-                arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in columns[4]], pa.list_(pa.int32())))
+                arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in columns[5]], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("copy", T.LongType())])
     if with_ids:
         schema = T.StructType([*schema, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return df.select(id_col, text_col).mapInArrow(work, schema)
@@ -108,11 +105,13 @@ def pack(pieces: DataFrame, documents: int, capacity: int = CAPACITY, group: int
     Pieces are dealt by a hash to groups of about ``group`` documents, which are packed
     apart from each other, longest piece first: one shuffle of a few numbers a piece, and
     no group grows with the corpus. Each group leaves at most a few sequences part filled.
-    Equal rows are packed as rows of their own.
+    Equal rows are packed as rows of their own, and dealt by ``copy`` too, so a row that is
+    repeated without end doesn't fill one group.
     """
     groups = max(1, -(-documents // group))
-    names = [f.name for f in pieces.schema]
-    schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    fields = [f for f in pieces.schema if f.name != "copy"]
+    names = [f.name for f in fields]
+    schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "ids_crc32", names[0], "start"], ascending=[False, True, True, True], kind="stable")
@@ -120,7 +119,7 @@ def pack(pieces: DataFrame, documents: int, capacity: int = CAPACITY, group: int
         rows["sequence_id"], rows["offset"] = bins * groups + key[0], offsets
         return rows[[*names, "sequence_id", "offset"]]
 
-    bucket = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in (names[0], "piece", "ids_crc32"))), F.lit(groups)).alias("g")
+    bucket = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in (names[0], "piece", "ids_crc32", "copy"))), F.lit(groups)).alias("g")
     return pieces.groupBy(bucket).applyInPandas(work, schema)
 
 

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .arrow import runs, utf8
-from .bpe import SPECIAL, compiled
+from .arrow import utf8
+from .bpe import compiled, slices, split, with_special
 from .shared import table
 
-SLICE = 1 << 21  # bytes of text that one pass of the transducers takes
+SLICE = 1 << 18  # bytes of text that one pass of the transducers takes
 
 
 def vocabulary() -> str:
@@ -38,17 +38,11 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             counts = np.zeros(len(offsets) - 1, np.int64)
-            for a, b in runs(offsets, SLICE):
-                data = bytes(raw[offsets[a] : offsets[b]])
-                if data:
-                    starts, sizes, owner = bpe.split(data, np.diff(offsets[a : b + 1]))
-                    known, which = bpe.lookup(data, starts, sizes, ids=False)
-                    counts[a:b] = np.bincount(owner, np.array(known, np.int64)[which], b - a)
-                if SPECIAL.encode() in data:
-                    for i in range(a, b):
-                        text = bytes(raw[offsets[i] : offsets[i + 1]]).decode()
-                        if SPECIAL in text:
-                            counts[i] = len(bpe.library.encode(text, add_special_tokens=False).ids)
+            for a, b, data, lengths in slices(raw, offsets, SLICE):
+                words, owner = split(data, lengths)
+                counts[a:b] += np.bincount(owner, np.array(bpe.known(words), np.int64), b - a).astype(np.int64)
+            for i in with_special(raw, offsets):
+                counts[i] = len(bpe.library.encode(bytes(raw[offsets[i] : offsets[i + 1]]).decode(), add_special_tokens=False).ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(counts), pa.array(counts > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])

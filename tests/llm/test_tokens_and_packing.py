@@ -100,3 +100,51 @@ def test_sum_of_squares_is_the_rule():
     large = [lengths[(lengths > 20) & (lengths <= 40 - k)] for k in range(21)]
     rest = [lengths[(lengths >= k) & (lengths <= 20)].sum() - (40 * len(x) - x.sum()) for k, x in enumerate(large)]
     assert len(used) == max((lengths > 40 - k).sum() + len(x) + max(0, -(-r // 40)) for k, (x, r) in enumerate(zip(large, rest, strict=True)))
+
+
+def thue_morse(zero: str, one: str, n: int) -> str:
+    return "".join(one if i.bit_count() % 2 else zero for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark, library):
+    """Thue-Morse words and their opposites agree under every polynomial hash modulo 2^64."""
+    own = [thue_morse(*pair, n) for n in (1024, 2048, 4096) for pair in ("ab", "ba", "iq", "qi")]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").coalesce(1)
+    whole = [library.encode(t, add_special_tokens=False).ids for t in own]
+    assert {r.doc_id: r.n_tokens for r in count_tokens(df).collect()} == {i: len(x) for i, x in enumerate(whole)}
+    found: dict = {}
+    for r in sorted(token_pieces(df, with_ids=True).collect(), key=lambda r: r.start):
+        found.setdefault(r.doc_id, []).extend(r.ids)
+    assert found == {i: [*x, 0] for i, x in enumerate(whole)}
+
+
+def test_texts_of_several_slices(spark, library):
+    """Texts longer than a slice, with and without places to cut at, among short ones."""
+    rng = random.Random(4)
+    words = ["it's", "12 345", "\n\n  x", "ñandú", "漢字漢字", "  ", "don't've", "　", "...", "a\tb"]
+    long = " ".join(rng.choice(words) for _ in range(250_000))
+    own = ["short", long, "漢字" * 60_000, "", "tail it's", "é" * 200_000 + " x", long[:1000] + "<|endoftext|>" + long[:700_000]]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").coalesce(1)
+    whole = [library.encode(t, add_special_tokens=False).ids for t in own]
+    assert len(long.encode()) > 1 << 20
+    assert {r.doc_id: r.n_tokens for r in count_tokens(df).collect()} == {i: len(x) for i, x in enumerate(whole)}
+    found: dict = {}
+    for r in sorted(token_pieces(df, with_ids=True).collect(), key=lambda r: r.start):
+        found.setdefault(r.doc_id, []).extend(r.ids)
+    assert found == {i: [*x, 0] for i, x in enumerate(whole)}
+
+
+def test_what_is_forgotten_changes_nothing(library, monkeypatch):
+    own = [t.encode() for t in texts() if "<|endoftext|>" not in t]
+    lengths = np.array([len(t) for t in own])
+    monkeypatch.setattr(bpe.Compiled, "WORDS", 500)
+    monkeypatch.setattr(bpe.Compiled, "STATES_KEPT", 50)
+    monkeypatch.setattr(bpe.Ids, "WORDS", 500)
+    counts, ids = bpe.Compiled(vocabulary()), bpe.Ids(vocabulary())
+    for _ in range(2):
+        for t, n in zip(own, lengths, strict=True):
+            if n:
+                words, _ = bpe.split(t, np.array([n]))
+                want = library.encode(t.decode(), add_special_tokens=False).ids
+                assert sum(counts.known(words)) == len(want)
+                assert np.frombuffer(b"".join(ids.known(words)), "<u4").tolist() == want
