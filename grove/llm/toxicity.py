@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import fresh, table
@@ -20,7 +20,9 @@ PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.3
 POSITIVES, UNLABELLED = 3000, 6000  # bounds of the training sample, in rows
 LEAST, LIFT = 0.03, 3.0  # share of positives that have a feature; times its share at large
-KEEP = 400_000  # words whose weight a worker remembers
+SAMPLE = 64 << 20  # bytes of text of either side of the training sample
+NOTHING = -60.0  # the bias of a model that knows of no toxic text
+KEEP = 50_000  # words whose weight a worker remembers
 
 
 def _of_word(word: str) -> list[str]:
@@ -55,13 +57,13 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
     p E_P[l(+)] + max(0, E_U[l(-)] - p E_P[l(-)]). The second part estimates the risk on
     negatives; where it falls below zero the classifier is overfitted, and its gradient is
     turned round. At last the bias is moved until the unlabelled rows score the prior on
-    average: a small sample would leave it anywhere. Without positives every score is the
-    prior.
+    average: a small sample would leave it anywhere. Without positives, or without a feature
+    that tells them from the rest, nothing is known and every score is 0 (under 1e-25).
     """
     prior = min(max(prior, 1e-3), 0.999)
     base = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
-        return Model({}, base)
+        return Model({}, NOTHING)
     features = lambda text: (f for w in set(WORD.findall(text.lower())) for f in _of_word(w))
     # Features are kept that stand in enough positives, and there oftener than at large. Only
     # those of the first kind are looked for in the other rows, so little is held.
@@ -71,6 +73,8 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
     bags, others = ([np.sort(np.array([number[f] for f in features(t) if f in number], np.int64)) for t in x] for x in (positive, unlabelled))
     in_u = np.bincount(np.concatenate([np.unique(b) for b in others]), minlength=len(number))
     chosen = [f for f, i in number.items() if in_p[f] / len(positive) >= LIFT * in_u[i] / len(unlabelled)]
+    if not chosen:
+        return Model({}, NOTHING)
     vocabulary = {f: i for i, f in enumerate(chosen)}
     place = np.full(len(number), -1)
     place[[number[f] for f in chosen]] = np.arange(len(chosen))
@@ -117,16 +121,19 @@ def held_out(id_col: Column) -> Column:
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on a bounded sample: the first ``POSITIVES`` toxic and ``UNLABELLED`` unlabelled
-    rows by a hash of the id. The class prior is the share of toxic rows among all labelled
-    ones. Rows that are held out give neither."""
+    rows by a hash of the id, whole texts, as far as ``SAMPLE`` bytes go on either side. The
+    class prior is the share of toxic rows among all labelled ones. Rows that are held out
+    give neither. Of an id with several rows the least text is taken."""
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     prior = own.agg(F.avg(F.col(label_col).cast("double"))).first()[0]
     order = F.xxhash64(F.col(id_col))
     ids = lambda rows, n: rows.select(id_col).distinct().orderBy(order, id_col).limit(n)
     usable = documents.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = ids(own.where(F.col(label_col) == 1), POSITIVES).withColumn("side", F.lit(1)).unionByName(ids(usable, UNLABELLED).withColumn("side", F.lit(0)))
-    rows = documents.select(id_col, F.col(text_col).alias("body")).join(F.broadcast(chosen), id_col)  # at most POSITIVES + UNLABELLED ids
-    got = sorted((r.side, r.body or "") for r in rows.select("side", "body").toLocalIterator())
+    rows = documents.select(id_col, F.coalesce(text_col, F.lit("")).alias("body")).join(F.broadcast(chosen), id_col)  # at most POSITIVES + UNLABELLED ids
+    single = rows.groupBy("side", id_col).agg(F.min("body").alias("body"))
+    so_far = F.sum(F.octet_length("body")).over(Window.partitionBy("side").orderBy(order, id_col))
+    got = sorted((r.side, r.body) for r in single.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE).select("side", "body").toLocalIterator())
     return train([t for side, t in got if side], [t for side, t in got if not side], 0.0 if prior is None else float(prior))
 
 
@@ -153,7 +160,11 @@ def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 
 def reject_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` whose text scores below ``threshold``; all columns stay."""
+    """The rows of ``df`` whose text scores below ``threshold``; all columns stay.
+
+    Null and empty texts have no evidence against them and stay, unless the share of toxic
+    rows alone reaches ``threshold``; repeated rows stay or go together; an empty table gives
+    no rows. A model that was learnt without positives rejects nothing."""
     own = fresh(df, "score")
     return df.withColumn(own, score(F.col(f"`{text_col}`"), model)).where(F.col(own) < threshold).select(*df.columns)
 
