@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .arrow import utf8
 from .components import components
 from .jaccard import shingle_node, similar_groups
-from .shared import fresh, materialize, table
+from .shared import fresh, join_counted, materialize, table
 
 SEED = 42
 BITS = 64
@@ -165,13 +165,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows are kept; an empty table gives no rows.
     """
     own = materialize(df.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("fp")), "fingerprints")
-    least = materialize(own.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    least = materialize(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
     nodes = components(hamming_links(least.select("fp"), max_bits), "simhash")
     joined = nodes.join(least, nodes.node == least.fp)
     roots = joined.groupBy("root").agg(F.min("least").alias("lowest"))
     linked = nodes.join(roots, "root").select(F.col("node").alias("fp"), "lowest")
-    groups = least.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
-    return own.join(groups, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    groups = materialize(least.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"), "n"), "groups")
+    return join_counted(own, groups, "fp", "n", own.count()).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -183,8 +183,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     with an id is in their group; else one stays for each group.
     """
     group, rank, number = (fresh(df, stem) for stem in ("group", "rank", "node"))
-    own, groups = similar_groups(df, id_col, text_col, words, similarity)
-    chosen = own.join(groups, "node").where("id = component_id").select(F.col("id").alias(id_col)).distinct()
+    groups = similar_groups(df, id_col, text_col, words, similarity)
+    # Of the rows with an id, the one that gives its group the smallest id is in that group.
+    chosen = groups.where("component_id is not null").select(F.col("component_id").alias(id_col)).distinct()
     rows = df.join(chosen, id_col, "left_semi")
     # Ids that stand in several rows are few or none; only their rows are ranked.
     repeated = df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
