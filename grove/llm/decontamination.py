@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .shared import fresh, table
 
 RATE = 0.05  # edits allowed by character of an item
-SHORTEST = 32  # characters below which an item is too common to be searched
+SHORTEST = 32  # characters below which an item is searched word for word
 BLOCK = 4_000_000  # characters of items that one pass of the documents searches
 
 
@@ -55,7 +55,7 @@ class Items:
     """Test items, their pieces in one automaton, and the search of a text."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = [(key, text, int(rate * len(text)), bits(text)) for key, text in items]
+        self.items = [(key, text, int(rate * len(text)) if len(text) >= SHORTEST else 0, bits(text)) for key, text in items]
         self.pieces = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, budget, _) in enumerate(self.items):
@@ -76,6 +76,8 @@ class Items:
                 for n, a in own:
                     _, item, budget, _ = self.items[n]
                     start = stop + 1 - size - a
+                    if size < SHORTEST and size == len(item) and not (text[start - 1 : start] in ("", " ") and text[stop + 1 : stop + 2] in ("", " ")):
+                        continue  # a short item in the middle of a word
                     lo, hi = start - budget, start + len(item) + budget
                     spans = windows.setdefault(n, [])
                     if spans and lo <= spans[-1][1]:  # one scan for hits that overlap
@@ -85,6 +87,9 @@ class Items:
         out = []
         for n, spans in windows.items():
             key, item, budget, table = self.items[n]
+            if len(item) < SHORTEST:
+                out.append((key, 0, spans[0][1]))
+                continue
             if (at := text.find(item)) >= 0:
                 out.append((key, 0, at + len(item)))
                 continue
@@ -98,52 +103,61 @@ class Items:
         return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of a bounded size, so that what goes to each task is bounded
-    however long the benchmark is. Equal items count once, under their smallest id."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("key"), normal(F.col(text_col)).alias("body"))
-    items = items.where(F.length("body") >= SHORTEST).groupBy("body").agg(F.min("key").alias("key"))
-    size = items.agg(F.sum(F.length("body"))).first()[0] or 0
+def _keyed(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """``item, body, key``: equal items have one key, by which hits find all their ids again."""
+    rows = benchmark.select(F.col(item_col).alias("item"), normal(F.col(text_col)).alias("body")).where("body <> ''")
+    return rows.withColumn("key", F.xxhash64("body"))
+
+
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The different items in blocks of a bounded size, so that what goes to each task is
+    bounded however long the benchmark is; each block is one pass of the documents."""
+    bodies = items.select("key", "body").distinct()
+    size = bodies.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("body"), F.lit(blocks)) == b).collect()
-        yield sorted(((r.key, r.body) for r in rows), key=lambda r: (r[0] is None, r))
+        rows = bodies.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).collect()
+        yield sorted((r.key, r.body) for r in rows)
 
 
 def hits(text: Column, items: list[tuple[int, str]], rate: float = RATE) -> Column:
-    """An array of ``item_id, distance, end`` for a normalised text column."""
+    """An array of ``key, distance, end`` for a normalised text column."""
 
-    @F.pandas_udf("array<struct<item_id:long,distance:int,end:int>>")
+    @F.pandas_udf("array<struct<key:long,distance:int,end:int>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Items(items, rate)
         for texts in batches:
-            yield pd.Series([[{"item_id": k, "distance": d, "end": e} for k, d, e in own.search(t)] for t in texts])
+            yield pd.Series([[{"key": k, "distance": d, "end": e} for k, d, e in own.search(t)] for t in texts])
 
     return of(text)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """Benchmark items that stand in documents with few edits: ``id_col, item_id, distance,
-    end``, one row for each document and item.
+    end, weak``, one row for each document and item.
 
     ``distance`` is the least edit distance of the item to any part of the document, both
     normalised, at most ``rate`` of the item's length; ``end`` is where the best part ends in
-    the normalised text. Null and empty texts, and items under ``SHORTEST`` characters, match
-    nothing; equal items are reported once, under the smallest id; null and repeated document
-    ids are kept; other columns are not looked at.
+    the normalised text. An item under ``SHORTEST`` characters is found only word for word,
+    and ``weak`` says that it may stand there by chance. Null and empty texts, and items
+    without a letter or digit, match nothing; of equal items each is reported; null and
+    repeated document ids are kept; other columns are not looked at.
     """
-    found = None
-    for items in _blocks(benchmark, item_col, item_text):
-        own = documents.select(F.col(id_col), hits(normal(F.col(text_col)), items, rate).alias("hit")).select(id_col, F.inline("hit"))
+    items, found = _keyed(benchmark, item_col, item_text), None
+    for block in _blocks(items):
+        own = documents.select(F.col(id_col).alias("document"), hits(normal(F.col(text_col)), block, rate).alias("hit")).select("document", F.inline("hit"))
         found = own if found is None else found.unionByName(own)
-    return found
+    weak = (F.length("body") < SHORTEST).alias("weak")
+    return found.join(items, "key").select(F.col("document").alias(id_col), F.col("item").alias(item_col), "distance", "end", weak)
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows of ``documents`` in which no item of ``benchmark`` stands; all columns stay."""
+    """The rows of ``documents`` in which no item of ``benchmark`` stands, short ones word for
+    word; all columns stay. Null and empty texts stay, repeated rows stay or go together; an
+    empty benchmark takes nothing."""
     own, kept = fresh(documents, "hits"), documents
-    for items in _blocks(benchmark, item_col, item_text):
-        kept = kept.withColumn(own, hits(normal(F.col(f"`{text_col}`")), items, rate)).where(F.size(own) == 0).drop(own)
+    for block in _blocks(_keyed(benchmark, item_col, item_text)):
+        kept = kept.withColumn(own, hits(normal(F.col(f"`{text_col}`")), block, rate)).where(F.size(own) == 0).drop(own)
     return kept.select(*documents.columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,19 +39,58 @@ ALLOWED_VALUES = (
 )
 
 
+STRIDE = 256  # elements that one step of a running number, or of cutting a text, takes
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value bound once, as the one element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """An array of whole numbers to their sums so far (or maxima so far), each included.
+
+    Growing an array one by one copies it each time, so strides are run through apart, and
+    then what each stride hands on: a text of n spans costs about n * STRIDE / 2 copies.
+    """
+
+    def through(part: Column) -> Column:
+        empty = F.expr("cast(array() as array<int>)")
+        add = lambda out, v: F.array_append(out, F.when(F.size(out) > 0, join(F.element_at(out, -1), v)).otherwise(v))
+        return F.aggregate(part, empty, add)
+
+    strides = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STRIDE).cast("int")), lambda i: through(F.slice(values, i * STRIDE + 1, STRIDE)))
+
+    def carried(inner: Column) -> Column:
+        ends = through(F.transform(inner, lambda part: F.element_at(part, -1)))
+        return _once(ends, lambda all_ends: F.flatten(F.transform(inner, lambda part, i: F.when(i == 0, part).otherwise(F.transform(part, lambda v: join(F.get(all_ends, i - 1), v))))))
+
+    return F.when(F.size(values) > 0, _once(strides, carried)).otherwise(values)
+
+
 def _positions(text: Column, pattern: str, found: Column, kind: str) -> Column:
     """``found``, all matches of ``pattern``, as spans in code points: what stands between
     matches and the matches themselves alternate."""
-    gaps = F.split(text, pattern, -1)
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)").alias("spans"))
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    ends = _running(F.zip_with(gaps, found, lambda gap, hit: F.length(gap) + F.length(hit)), lambda a, b: a + b)
+    spans = F.zip_with(found, ends, lambda hit, end: F.struct(F.lit(kind).alias("kind"), (end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("value")))
+    return F.when(F.size(found) > 0, spans).otherwise(F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)"))
+
 
-    def add(state: Column, part: Column) -> Column:
-        begin = state["at"] + F.length(part["gap"])
-        end = begin + F.length(part["hit"])
-        return F.struct(end.alias("at"), F.array_append(state["spans"], F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), part["hit"].alias("value"))).alias("spans"))
+def _between(text: Column, edges: Column) -> Column:
+    """The parts of a text between positions that follow each other, the first 0 and the last
+    its length. Looking for a position means reading from the start, so the text is cut into
+    stretches of ``STRIDE`` positions first."""
 
-    return F.when(F.size(found) > 0, F.aggregate(parts, start, add, lambda s: s["spans"])).otherwise(start["spans"])
+    def stretch(i: Column) -> Column:
+        def cut(own: Column) -> Column:
+            first = F.element_at(own, 1)
+            fine = lambda piece: F.transform(F.sequence(F.lit(1), F.size(own) - 1), lambda j: F.substring(piece, F.element_at(own, j) - first + 1, F.element_at(own, j + 1) - F.element_at(own, j)))
+            return _once(F.substring(text, first + 1, F.element_at(own, -1) - first), fine)
+
+        return _once(F.slice(edges, i * STRIDE + 1, STRIDE + 1), cut)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(edges) - 2) / STRIDE).cast("int")), stretch))
 
 
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
@@ -80,8 +120,7 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step, lambda s: F.log2(size.cast("double")) - s["least"] / size)
 
-    # The codes are bound once, as the one element of an array.
-    return F.element_at(F.transform(F.array(codes), over), 1)
+    return _once(codes, over)
 
 
 def _suspicious(value: Column) -> Column:
@@ -97,7 +136,8 @@ def _suspicious(value: Column) -> Column:
 
 def with_spans(df: DataFrame, spans: str, text_col: str = "text") -> DataFrame:
     """``df`` with an array column ``spans`` of ``kind, start, end, value``, by start, then
-    kind as in ``KINDS``. Narrow: no shuffle, no Python.
+    kind as in ``KINDS``. Narrow: no shuffle, no Python; the work grows with the text and,
+    times the logarithm, with its spans.
 
     A null or empty text has no spans. Entropy spans are candidates in which some window is
     at least as random as their character class asks for, unless a pattern's span covers
@@ -110,15 +150,20 @@ def with_spans(df: DataFrame, spans: str, text_col: str = "text") -> DataFrame:
     values = F.filter(_positions(whole, ASSIGN, F.col(assign), "assign"), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= VALUE)
     found = found.withColumn(base, F.concat(values, _positions(whole, ACCESS, F.col(access), "access"), _positions(whole, HEX, F.col(hexes), "hex")))
     # Positions are found only where a candidate is suspicious.
-    risky = F.when(F.exists(F.col(candidates), _suspicious), _positions(whole, CANDIDATE, F.col(candidates), "entropy"))
-    extra = F.filter(F.coalesce(risky, F.slice(F.col(base), 1, 0)), lambda s: ~F.exists(F.col(base), lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])) & _suspicious(s["value"]))
+    risky = F.when(F.exists(F.col(candidates), _suspicious), F.filter(_positions(whole, CANDIDATE, F.col(candidates), "entropy"), lambda s: _suspicious(s["value"])))
     order = F.array(*map(F.lit, KINDS))
 
     def rank(s: Column) -> Column:
-        return F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["value"].alias("value"))
+        return F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).cast("int").alias("rank"), s["end"].alias("end"), s["value"].alias("value"))
 
-    everything = F.transform(F.array_sort(F.transform(F.concat(F.col(base), extra), rank)), lambda s: F.struct(F.element_at(order, s["rank"].cast("int")).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return found.withColumn(spans, everything).drop(text, assign, access, hexes, candidates, base)
+    def uncovered(every: Column) -> Column:
+        # In order of starts, a pattern's span covers what ends no later than the latest end so far.
+        ends = _running(F.transform(every, lambda s: F.when(s["rank"] < len(KINDS), s["end"]).otherwise(0)), F.greatest)
+        return _once(ends, lambda reach: F.filter(every, lambda s, i: (s["rank"] < len(KINDS)) | (F.get(reach, i) < s["end"])))
+
+    every = F.sort_array(F.transform(F.concat(F.col(base), F.coalesce(risky, F.slice(F.col(base), 1, 0))), rank))
+    shown = lambda s: F.struct(F.element_at(order, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
+    return found.withColumn(spans, F.transform(_once(every, uncovered), shown)).drop(text, assign, access, hexes, candidates, base)
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,14 +176,18 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> Dat
     """``df`` with every secret in ``text_col`` replaced by ``mask``; spans that touch or
     overlap get one mask. Rows, and texts without secrets (null ones too), stay as they are."""
     spans, column = fresh(df, "spans"), F.col(f"`{text_col}`")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(state: Column, s: Column) -> Column:
-        apart = (s["start"] > state["at"]) | (state["out"] == "")
-        out = F.when(apart, F.concat(state["out"], F.substring(column, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate(F.col(spans), start, cut, lambda s: F.concat(s["out"], F.substring(column, s["at"] + 1, F.length(column))))
+    def masked(reach: Column) -> Column:
+        """``reach``: the latest end so far at each span, in order of starts."""
+        place = F.sequence(F.lit(0), F.size(reach) - 1)
+        begin = lambda i: F.get(F.col(spans), i)["start"]
+        starts = F.transform(F.filter(place, lambda i: (i == 0) | (begin(i) > F.get(reach, i - 1))), begin)
+        ends = F.transform(F.filter(place, lambda i: (i == F.size(reach) - 1) | (begin(i + 1) > F.get(reach, i))), lambda i: F.get(reach, i))
+        edges = F.concat(F.array(F.lit(0)), F.flatten(F.zip_with(starts, ends, lambda a, b: F.array(a, b))), F.array(F.length(column)))
+        parts = _once(edges, lambda own: _between(column, own))
+        return F.array_join(F.transform(parts, lambda part, i: F.when(i % 2 == 1, F.lit(mask)).otherwise(part)), "")
+
+    clean = _once(_running(F.col(f"{spans}.end"), F.greatest), masked)
     return with_spans(df, spans, text_col).withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(column)).select(*df.columns)
 
 
