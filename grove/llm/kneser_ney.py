@@ -138,8 +138,11 @@ def perplexities(documents: DataFrame, model: list[tuple[DataFrame, DataFrame]],
                 own = found[at : at + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number)), pa.array(own)], names=["batch", "gram"])
 
-    asked = rows.mapInArrow(ask, "batch long, gram long")
-    answers = asked.join(probabilities(asked.select("gram").distinct(), model), "gram").select("batch", "gram", "logp")
+    # Both uses of what is asked are clustered by gram. They keep the same columns (the filter
+    # is always true), so Spark sees one exchange and asks once.
+    asked = rows.mapInArrow(ask, "batch long, gram long").repartition("gram")
+    distinct = asked.groupBy("gram").agg(F.min("batch").alias("least")).where("least >= 0").select("gram")
+    answers = asked.join(probabilities(distinct, model), "gram").select("batch", "gram", "logp")
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
     schema = f"`{id_col}` {kinds[id_col]}, " + "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_bytes long, perplexity double"
 
