@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, join_counted, materialize, written
+from .shared import discard, materialize, written
 
 
-def _star(links: DataFrame, n: int) -> DataFrame:
+def _star(links: DataFrame) -> DataFrame:
     """One large star, then one small star: links to ever smaller neighbours. The centre of a
-    large star stands in many of the ``n`` links, so both joins are by counted keys."""
+    large star is a hot key of the first join, whose other side has a row a key: adaptive
+    execution splits it."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    large = join_counted(both, least, "a", "n", 2 * n).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
     down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    small = join_counted(down, least, "a", "n", 2 * n).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    small = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -32,7 +33,7 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
     before = state(links)
     while before[0]:
         mark = written()
-        links = materialize(_star(links, before[0]), tag)
+        links = materialize(_star(links), tag)
         after = state(links)
         discard(links.sparkSession, mark - 1, mark)  # the round before
         if after == before:
