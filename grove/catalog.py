@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import feed_queries, merge_queries, object_queries, trace_queries, tree_queries
+from .plans import branch_queries, feed_queries, merge_queries, object_queries, trace_queries, tree_queries
 
-MODULES = (tree_queries, merge_queries, object_queries, trace_queries, feed_queries)
+MODULES = (tree_queries, merge_queries, object_queries, trace_queries, feed_queries, branch_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,28 +17,32 @@ def contents(value: Column, prefixed: bool = True) -> Column:
     return F.sha1(F.concat(F.lit(CONTENTS_PREFIX), value)) if prefixed else F.sha1(value)
 
 
-def digest(value: Column, algorithm: str) -> Column:
-    """SHA-1 and SHA-2 in the JVM; BLAKE2 through hashlib, by Arrow batches."""
+def digest(value: Column, algorithm: str, size: int | None = None) -> Column:
+    """SHA-1 and SHA-2 in the JVM; BLAKE2, of ``size`` bytes or the most it has, and RIPEMD-160
+    (where the machine's OpenSSL has it) through hashlib, by Arrow batches."""
     if algorithm == "sha1":
         return F.sha1(value)
     if algorithm.startswith("sha") and algorithm[3:] in ("224", "256", "384", "512"):
         return F.sha2(value, int(algorithm[3:]))
-    if algorithm not in ("blake2b", "blake2s"):
+    if algorithm not in ("blake2b", "blake2s", "ripemd160"):
         raise ValueError(f"no such digest: {algorithm}")
+    options = {} if size is None else {"digest_size": size}
 
     @F.pandas_udf("string")
     def of(values: pd.Series) -> pd.Series:
-        make = getattr(hashlib, algorithm)
-        return values.map(lambda v: make(v.encode()).hexdigest(), na_action="ignore")
+        make = getattr(hashlib, algorithm) if algorithm.startswith("blake2") else partial(hashlib.new, algorithm)
+        return values.map(lambda v: make(v.encode(), **options).hexdigest(), na_action="ignore")
 
     return of(value)
 
 
 def short(hexed: Column) -> Column:
-    """The first eight bytes, least first, as an integer of 62 bits."""
+    """The first eight bytes, least first, as an integer of 63 bits with a sign."""
     swapped = F.concat(*[F.substring(hexed, 15 - 2 * i, 2) for i in range(8)])
-    low = F.conv(F.concat(F.lit("0"), F.substring(swapped, 2, 15)), 16, 10).cast("long")
-    return low.bitwiseAND(F.lit((1 << 60) - 1))
+    low = F.conv(F.substring(swapped, 9, 8), 16, 10).cast("long")
+    high = F.conv(F.substring(swapped, 1, 8), 16, 10).cast("long")
+    # Of the 64 bits the highest is lost, and the one below it becomes the sign.
+    return F.shiftright(F.shiftleft(high, 33), 1).bitwiseOR(low)
 
 
 def set_sums(entry: Column) -> list[Column]:

@@ -40,8 +40,11 @@ def idempotent(known: Column, old: Column, a: Column, b: Column) -> Column:
 
 
 def counter(known: Column, old: Column, a: Column, b: Column) -> Column:
-    """Both sides' changes add up; no ancestor counts as 0."""
-    return done(a + b - F.when(known, F.coalesce(old, F.lit(0))).otherwise(F.lit(0)))
+    """Both sides' changes add up; no ancestor counts as 0. Sums that leave 64 bits wrap round."""
+    exact = a.cast("decimal(20,0)") + b - F.when(known, F.coalesce(old, F.lit(0))).otherwise(F.lit(0))
+    span = F.lit("18446744073709551616").cast("decimal(38,0)")
+    wrapped = F.pmod(exact.cast("decimal(38,0)") + F.lit("9223372036854775808").cast("decimal(38,0)"), span) - F.lit("9223372036854775808").cast("decimal(38,0)")
+    return done(wrapped.cast("long"))
 
 
 def latest(known: Column, old: Column, a: Column, b: Column) -> Column:

@@ -58,9 +58,12 @@ def starts_with(path: Column, steps: list[str]) -> Column:
     return F.slice(path, 1, len(steps)) == literal(steps) if steps else F.lit(True)
 
 
+BRANCH = "^[A-Za-z0-9_./-]*$"  # Fixed value: names that a branch may have
+
+
 def valid_branch(name: Column) -> Column:
     """Whether a branch may have this name."""
-    return name.rlike("^[A-Za-z0-9_./-]*$")
+    return name.rlike(BRANCH)
 
 
 # How a commit's date is written in logs.
@@ -80,3 +83,26 @@ def author_name(author: Column) -> Column:
 def author_mail(author: Column) -> Column:
     found = F.regexp_extract(author, r"<([^>]*)>\s*$", 1)
     return F.when(found != "", found)
+
+
+def info(date: Column | None = None, author: Column | None = None, message: Column | None = None) -> Column:
+    """What a commit says of itself: ``struct(date, author, message)``, 0 and empty where not given."""
+    return F.struct((F.lit(0) if date is None else date).cast("long").alias("date"), (F.lit("") if author is None else author).alias("author"), (F.lit("") if message is None else message).alias("message"))
+
+
+def no_info(value: Column) -> Column:
+    """Whether it says nothing: all as by default."""
+    return (value["date"] == 0) & (value["author"] == "") & (value["message"] == "")
+
+
+def reference(text: Column) -> Column:
+    """``struct(kind, name)`` of a written reference: branch, remote, tag, other, or null for
+    what is none."""
+    name = F.regexp_extract(text, "^refs/(?:heads|remotes|tags)/(.+)$", 1)
+    kind = F.when(text.startswith("refs/heads/"), "branch").when(text.startswith("refs/remotes/"), "remote").when(text.startswith("refs/tags/"), "tag").when(text == "HEAD", "head").when(text.startswith("refs/"), "other")
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.when(name != "", name).otherwise(text).alias("name")))
+
+
+def valid_text(raw: Column) -> Column:
+    """Whether bytes are UTF-8."""
+    return F.is_valid_utf8(raw.cast("string"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import reach_far
+
 
 def counters(deltas: DataFrame, key: str, delta: str) -> DataFrame:
     """``key, value``: the sum of all increments, in any order and from any branch."""
@@ -38,3 +40,22 @@ def read_log(entries: DataFrame, key: str, ts: str, after: DataFrame | None = No
         rows = rows.join(after.select(key, "cursor"), key, "left").where(F.col("cursor").isNull() | (F.col(ts) < F.col("cursor"))).drop("cursor")
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts))))
     return rows if n is None else rows.where(F.col("place") <= n)
+
+
+def next_cursors(page: DataFrame, key: str, ts: str) -> DataFrame:
+    """``key, cursor``: where the page after this one of each log starts. Logs that the page
+    has nothing of are at their end."""
+    return page.groupBy(key).agg(F.min(ts).alias("cursor"))
+
+
+def linked_log(links: DataFrame, heads: DataFrame, ts: str = "ts") -> DataFrame:
+    """``log, node, place`` and the other columns of every entry of each log, newest first.
+
+    ``links``: ``node, before`` (an array of nodes: none, one, or both heads that a merge
+    joined), ``ts``, and what an entry holds; a merge is a node with a null ``ts`` and is no
+    entry. ``heads``: ``log, node``. Entries that both sides of a merge share are read once.
+    """
+    edges = links.select(F.col("node").alias("src"), F.explode("before").alias("dst"))
+    found = reach_far(edges, heads.select(F.col("log").alias("origin"), "node"), levels=False)
+    rows = found.select(F.col("origin").alias("log"), "node").join(links.drop("before"), "node").where(F.col(ts).isNotNull())
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("log").orderBy(F.desc(ts), F.desc("node"))))

@@ -7,10 +7,12 @@ every few rounds, which keeps plans short and survives lost executors.
 
 from __future__ import annotations
 
+import heapq
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROUNDS = 4  # between writes of the visited table
@@ -20,17 +22,24 @@ class LcaError(ValueError):
     """``max_depth_reached`` or ``too_many_lcas``."""
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared folder and read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Only on a local
+    master one of this machine is set where there is none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="grove-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/grove-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/grove-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
@@ -106,7 +115,12 @@ def closure(commits: DataFrame, most: DataFrame, least: DataFrame, depth: int |
     """``commit`` of all between ``most`` and ``least`` (``commit``): ``most`` always, and what
     they reach without going beyond ``least``."""
     starts = most.select(F.lit(0).alias("origin"), F.col("commit").alias("node"))
-    return reach(parents(commits), starts, depth, least.select(F.col("commit").alias("node"))).select(F.col("node").alias("commit"))
+    stop = least.select(F.col("commit").alias("node"))
+    if depth is not None:
+        return reach(parents(commits), starts, depth, stop).select(F.col("node").alias("commit"))
+    # Not going beyond a commit is a graph in which nothing leads out of it.
+    inside = parents(commits).join(stop, F.col("src") == F.col("node"), "left_anti")
+    return reach_far(inside, starts, levels=False).select(F.col("node").alias("commit"))
 
 
 def lcas(commits: DataFrame, pairs: DataFrame, max_depth: int | None = None, n: int | None = None) -> DataFrame:
@@ -175,3 +189,82 @@ def last_modified(writes: DataFrame, inherited: DataFrame, n: int = 1) -> DataFr
     """The ``n`` latest commits that changed each key: ``key, commit, place``, latest first."""
     w = Window.partitionBy("key").orderBy(F.desc("date"), F.desc("commit"))
     return modifications(writes, inherited).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("key", "commit", "place")
+
+
+def object_edges(branches: DataFrame, commits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``src_kind, src, dst_kind, dst``: what each object leads to by itself. A branch (``branch,
+    head``) to its commit, a commit (``hash, node_hash, parents``) to its root node and its
+    parents, a node (``node_hash, kind, child_hash``) to its entries."""
+    kind = lambda name: F.lit(name)
+    of_branch = branches.where("head is not null").select(kind("branch").alias("src_kind"), F.col("branch").alias("src"), kind("commit").alias("dst_kind"), F.col("head").alias("dst"))
+    of_root = commits.select(kind("commit").alias("src_kind"), F.col("hash").alias("src"), kind("node").alias("dst_kind"), F.col("node_hash").alias("dst"))
+    of_parent = commits.select(kind("commit").alias("src_kind"), F.col("hash").alias("src"), kind("commit").alias("dst_kind"), F.explode("parents").alias("dst"))
+    of_node = nodes.select(kind("node").alias("src_kind"), F.col("node_hash").alias("src"), F.col("kind").alias("dst_kind"), F.col("child_hash").alias("dst"))
+    return of_branch.unionByName(of_root).unionByName(of_parent).unionByName(of_node).distinct()
+
+
+def visits(edges: DataFrame, most: DataFrame, least: DataFrame | None = None, skip: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """``kind, key, level`` of all objects from ``most`` (``kind, key``) on, each at its lowest
+    level, over edges as of ``object_edges`` or of the caller's own making.
+
+    What is in ``skip`` is not visited; levels of ``depth`` and more are not reached. What is
+    in ``least`` is visited, but contents and nodes in it are not gone beyond, and a commit in
+    it cuts the history and keeps its tree; a branch in it stands for its commit as well.
+    """
+    name = lambda kind, key: F.concat_ws(":", kind, key)
+    own = edges.select("src_kind", "dst_kind", name("src_kind", "src").alias("src"), name("dst_kind", "dst").alias("dst"))
+    starts = most.select(F.lit(0).alias("origin"), name("kind", "key").alias("node"))
+    if skip is not None:
+        gone = skip.select(name("kind", "key").alias("gone"))
+        own = own.join(gone, F.col("dst") == F.col("gone"), "left_anti")
+        starts = starts.join(gone, F.col("node") == F.col("gone"), "left_anti")
+    if least is not None:
+        end = least.select(name("kind", "key").alias("end"))
+        heads = own.where("src_kind = 'branch'").join(end, F.col("src") == F.col("end")).select(F.col("dst").alias("end"))
+        end = settle(end.unionByName(heads).distinct())
+        beyond = own.join(end, F.col("src") == F.col("end"), "left_anti")
+        trees = own.where("src_kind = 'commit' and dst_kind <> 'commit'").join(end, F.col("src") == F.col("end"), "left_semi")
+        own = beyond.unionByName(trees)
+    own = own.select("src", "dst")
+    if depth is None:
+        found = reach_far(own, starts)
+    else:
+        found = reach(own, starts, depth - 1) if depth > 0 else starts.limit(0).withColumn("level", F.lit(0))
+    return found.select(F.substring_index("node", ":", 1).alias("kind"), F.expr("substring(node, instr(node, ':') + 1)").alias("key"), F.col("level").cast("long").alias("level"))
+
+
+def first_changes(commits: DataFrame, values: DataFrame, head: object, n: int = 1, depth: int | None = None) -> list:
+    """Up to ``n`` commits that changed one key, as a walk from ``head`` meets them: the latest
+    open commit (``commit, parent, date``) next, reported if its value (``values``: ``commit,
+    value``) differs from every parent's, and the commits found last come first.
+
+    A commit without parents ends the walk, reported if it has a value. Nothing is known of a
+    commit twice, so ancestors that are shared can be met again. Parents of commits ``depth``
+    steps away are compared but not walked to. The walk is the driver's; it holds the open
+    commits and looks up a frontier's rows at a time.
+    """
+    known: dict = {}
+
+    def look_up(wanted: list) -> None:
+        ask = [c for c in wanted if c not in known]
+        if ask:
+            rows = commits.where(F.col("commit").isin(ask)).groupBy("commit").agg(F.collect_set("parent").alias("parents"), F.max("date").alias("date"))
+            for r in rows.join(values.select("commit", "value"), "commit", "left").collect():
+                known[r["commit"]] = (sorted(r["parents"]), r["date"], r["value"])
+
+    look_up([head])
+    heap, found, number = [(-known[head][1], 0, head, 0)], [], 1
+    while heap and len(found) < n:
+        # Everything that stands open is looked up at once, so a line of commits is the worst case.
+        _, _, here, steps = heapq.heappop(heap)
+        ancestors, _, value = known[here]
+        if not ancestors:
+            return [here, *found] if value is not None else found
+        look_up([*ancestors, *(p for _, _, c, _ in heap for p in known[c][0])])
+        if all(known[p][2] != value for p in ancestors):
+            found = [here, *found]
+        if depth is None or steps < depth:
+            for p in ancestors:
+                heapq.heappush(heap, (-known[p][1], number, p, steps + 1))
+                number += 1
+    return found

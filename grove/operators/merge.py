@@ -9,6 +9,10 @@ from ..functions import merges, paths
 from .trees import nodes
 
 
+# How conflicts of trees are named.
+ADD_DEL, ADD_ADD, EMPTY = "option: add/del", "add/add values", "empty map"
+
+
 def diff(x: DataFrame, y: DataFrame) -> DataFrame:
     """``path, kind, old_value, old_metadata, new_value, new_metadata`` of every leaf that
     differs; kind is added, removed or updated. One full outer join on the path."""
@@ -68,14 +72,45 @@ def tree_conflicts(old: DataFrame, ours: DataFrame, theirs: DataFrame, contents:
         lost = olds.join(side, "path", "left_anti").join(side_leaves.select("path"), "path", "left_anti")
         top = lost.withColumn("up", paths.parent(F.col("path"))).join(side.select(F.col("path").alias("up")), "up", "left_semi").select("path")
         touched = changed.select(F.explode(paths.prefixes(F.col("path"))).alias("path")).distinct()
-        return top.join(touched, "path", "left_semi").select("path", F.lit("option: add/del").alias("conflict"))
+        return top.join(touched, "path", "left_semi").select("path", F.lit(ADD_DEL).alias("conflict"))
 
     missing = gone(mine, ours, diff(old, theirs)).unionByName(gone(other, theirs, diff(old, ours))).distinct()
-    shapes = ours.join(other, "path", "left_semi").select("path").unionByName(theirs.join(mine, "path", "left_semi").select("path")).select("path", F.lit("add/add values").alias("conflict"))
+    shapes = ours.join(other, "path", "left_semi").select("path").unionByName(theirs.join(mine, "path", "left_semi").select("path")).select("path", F.lit(ADD_ADD).alias("conflict"))
     inside = leaves.select("path", "conflict", F.explode(paths.prefixes(F.col("path"))).alias("up")).join(missing.select(F.col("path").alias("up")), "up", "left_semi").select("path").distinct()
     return leaves.join(inside, "path", "left_anti").unionByName(missing).unionByName(shapes).distinct()
 
 
+def tree_mode(old: DataFrame | None, ours: DataFrame, theirs: DataFrame, contents: merges.Merge = merges.string_contents) -> DataFrame:
+    """The merge of trees step by step: ``path, value, metadata`` of the merged tree. Raises
+    ``MergeConflict`` where leaves or directories clash, and where nothing is left."""
+    from .commits import MergeConflict
+    from .graph import settle
+
+    before = ours.limit(0) if old is None else old
+    clash = tree_conflicts(before, ours, theirs, contents).orderBy("path").take(1)
+    if clash:
+        raise MergeConflict(clash[0].conflict)
+    made = settle(commit_mode(before, ours, theirs, contents).select("path", "value", "metadata"))
+    if made.isEmpty():
+        raise MergeConflict(EMPTY)
+    return made
+
+
+def by_key(old: DataFrame, ours: DataFrame, theirs: DataFrame, contents: DataFrame, merge: merges.Merge = merges.string_contents) -> DataFrame:
+    """Merges of contents that are known by their keys: ``id, hash, value, conflict`` for each
+    ``id`` of ours and theirs (``id, hash``), over a store of contents (``hash, value``). The
+    values are looked up, merged as absent where there is none, and hashed again."""
+    from ..functions import hashes
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("id", "hash").join(contents.select("hash", "value"), "hash", "left").select("id", F.col("value").alias(name))
+
+    rows = side(ours, "a").join(side(theirs, "b"), "id", "full_outer").join(side(old, "o"), "id", "left")
+    m = merges.option(merge)(F.col("o").isNotNull(), F.col("o"), F.col("a"), F.col("b"))
+    out = rows.select("id", m.alias("m")).where(~F.col("m.ok") | F.col("m.value").isNotNull())
+    return out.select("id", hashes.contents(F.col("m.value")).alias("hash"), F.col("m.value").alias("value"), F.col("m.conflict").alias("conflict"))
+
+
 def keyed(old: DataFrame | None, ours: DataFrame, theirs: DataFrame, key: str, value: str, merge: merges.Merge, absent_known: bool = True) -> DataFrame:
     """Association lists and maps, key by key over the keys of both sides: ``key, value,
     conflict``. ``absent_known``: without an ancestor list, keys count as known to be absent

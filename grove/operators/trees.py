@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashes, paths
+from .graph import settle
 
 LEAF = ("path", "value", "metadata")
 
@@ -131,10 +132,13 @@ def duplicates(leaves: DataFrame) -> DataFrame:
     return twice.unionByName(leaves.select("path").join(nodes(leaves), "path", "left_semi")).distinct()
 
 
-def visits(leaves: DataFrame, relation: str = "le", depth: int | None = None) -> DataFrame:
+def visits(leaves: DataFrame, relation: str = "le", depth: int | None = None, order: str | None = None, seed: int = 0) -> DataFrame:
     """``path, kind, depth`` of what a fold limited by depth visits; ``relation`` is one of
     eq, le, lt, ge, gt. A fold reaches the root before it looks at depths, so le and lt
-    always visit it."""
+    always visit it. ``order``: sorted (by path), random (by a hash with ``seed``) or none."""
+    if order is not None:
+        by = F.col("path") if order == "sorted" else F.xxhash64("path", F.lit(seed))
+        return visits(leaves, relation, depth).orderBy(by)
     every = leaves.select("path", F.lit("contents").alias("kind")).unionByName(nodes(leaves).withColumn("kind", F.lit("node"))).withColumn("depth", F.size("path"))
     if depth is None:
         return every
@@ -157,26 +161,85 @@ def neighbours(leaves: DataFrame) -> DataFrame:
     return way.join(wide.withColumnRenamed("path", "up"), "up").groupBy("path").agg(F.sum(F.col("children") - 1).alias("siblings"))
 
 
-def node_hashes(leaves: DataFrame, deepest: int | None = None) -> DataFrame:
-    """``path, kind, hash`` of every leaf and directory.
+def node_hashes(leaves: DataFrame, deepest: int | None = None, pruned: DataFrame | None = None) -> DataFrame:
+    """``path, kind, hash`` of every leaf and directory; of ``pruned`` parts (``path, kind, hash,
+    metadata``) nothing but their hash is known.
 
     A leaf's hash is that of its contents. A directory's is a digest of the set of its
     entries (kind, step, hash, metadata), built from sums, so that a directory of any width
-    is aggregated in parts and needs no sort. One aggregation a level, from the deepest up.
+    is aggregated in parts and needs no sort. One aggregation a level, from the deepest up,
+    each written down once.
     """
     entry = F.concat_ws("\x1f", "kind", "step", "hash", F.coalesce("metadata", F.lit("")))
     here = leaves.select("path", F.lit("contents").alias("kind"), hashes.contents(F.col("value")).alias("hash"), "metadata")
+    if pruned is not None:
+        here = here.unionByName(pruned.select("path", "kind", "hash", "metadata"))
     if deepest is None:
-        deepest = leaves.agg(F.max(F.size("path"))).first()[0] or 0
+        deepest = here.agg(F.max(F.size("path"))).first()[0] or 0
     out, level = here.select("path", "kind", "hash"), here.where(F.size("path") == deepest)
     for depth in range(deepest, 0, -1):
         entries = level.select(F.slice("path", 1, depth - 1).alias("up"), F.get(F.col("path"), F.lit(depth - 1)).alias("step"), "kind", "hash", "metadata")
         found = entries.groupBy(F.col("up").alias("path")).agg(*hashes.set_sums(entry)).select("path", F.lit("node").alias("kind"), hashes.set_digest().alias("hash"), F.lit(None).cast("string").alias("metadata"))
+        found = settle(found)  # the levels above and the result both read it
         out = out.unionByName(found.select("path", "kind", "hash"))
         level = found.unionByName(here.where(F.size("path") == depth - 1))
     return out
 
 
+def hashes_at(leaves: DataFrame, keys: DataFrame) -> DataFrame:
+    """``path, kind, hash`` of what is at each of ``keys``; nulls where there is nothing."""
+    return keys.select("path").join(node_hashes(leaves), "path", "left")
+
+
+def at_hashes(leaves: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``hash, kind, path``: the first place, in order, of what has each hash of ``wanted``; nulls
+    where nothing has it."""
+    found = node_hashes(leaves).groupBy("hash", "kind").agg(F.min("path").alias("path"))
+    return wanted.select("hash").distinct().join(found, "hash", "left")
+
+
+def emptiness(leaves: DataFrame, keys: DataFrame) -> DataFrame:
+    """``path, empty`` for each of ``keys``: contents are never empty, and a directory that
+    exists isn't either."""
+    return kinds(leaves, keys).select("path", F.col("kind").isNull().alias("empty"))
+
+
+def update_tree(leaves: DataFrame, path: list[str], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``change`` of the subtree at ``path`` (empty where there is none) in its place; an empty
+    result removes it."""
+    return add_tree(leaves, path, settle(change(subtree(leaves, path)).select(*LEAF)))
+
+
+def fold(leaves: DataFrame, depth: int, start: Column, step: Callable[[Column, Column], Column], order: str = "sorted", seed: int = 0) -> DataFrame:
+    """``path, acc``: for each directory ``depth`` steps down, ``start`` changed by ``step(acc,
+    leaf)`` leaf after leaf (a struct of ``path`` from the root, ``value, metadata``).
+
+    Orders are sorted, by path, and random, the same for the same seed. For steps that depend
+    on order: the leaves of one such directory meet in one row. What can be added up in parts
+    is ``groupBy`` and ``agg`` instead.
+    """
+    leaf = F.struct("path", "value", "metadata")
+    key = {"sorted": F.struct(F.col("path").alias("k"), leaf.alias("v")), "random": F.struct(F.xxhash64("path", F.lit(seed)).alias("k"), leaf.alias("v"))}[order]
+    rows = leaves.where(F.size("path") > depth).groupBy(F.slice("path", 1, depth).alias("path")).agg(F.sort_array(F.collect_list(key)).alias("all"))
+    return rows.select("path", F.aggregate("all", start, lambda acc, x: step(acc, x["v"])).alias("acc"))
+
+
+def prune(leaves: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A tree in which what is at ``keys`` is known by its hash alone: the leaves that are left,
+    and ``path, kind, hash, metadata`` of the pruned parts."""
+    marks = leaves.select(F.col("path").alias("_p"), "metadata")
+    cut = settle(hashes_at(leaves, keys.distinct()).where("hash is not null").join(marks, F.col("path") == F.col("_p"), "left").drop("_p"))
+    return remove(leaves, cut), cut
+
+
+def find_pruned(leaves: DataFrame, pruned: DataFrame, keys: DataFrame) -> DataFrame:
+    """``find`` in a pruned tree: a key at or below a pruned part is an error when it is read."""
+    ups = keys.select("path", F.explode(F.concat(paths.prefixes(F.col("path")), F.array("path"))).alias("_up"))
+    hidden = ups.join(pruned.select(F.col("path").alias("_up"), F.col("hash").alias("_h")), "_up").groupBy("path").agg(F.first("_h").alias("_h"))
+    stop = F.raise_error(F.concat(F.lit("pruned hash "), F.col("_h"))).cast("string")
+    return find(leaves, keys).join(hidden, "path", "left").withColumn("value", F.when(F.col("_h").isNull(), F.col("value")).otherwise(stop)).drop("_h")
+
+
 def unique_visits(leaves: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """``hash, path``: each different directory once, at its first path in order; ``seen``
     (``hash``) are marks of earlier folds."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import merges
+from ..functions import hashes, merges
 from ..operators import containers as C
 from ..operators import merge as M
+from ..operators import objects as O
 from .derive import table
 
 # Ancestor, ours and theirs by customer: equal, changed on one side, on both, deleted, new.
@@ -140,6 +141,51 @@ def linked_log_read(s: SparkSession, d: str) -> DataFrame:
 
 LOGS = "log as (select distinct conv_id, turn, md5(text) as message from conversations where conv_id is not null and turn is not null)"
 
+def merge_map(s: SparkSession, d: str) -> DataFrame:
+    """Maps without an ancestor: a key of both sides agrees only if it is the same."""
+    return M.keyed(None, _list(s, d, "a"), _list(s, d, "b"), "k", "v", merges.idempotent, absent_known=False)
+
+
+def merge_by_key(s: SparkSession, d: str) -> DataFrame:
+    """Contents that are known by their hashes, with a store of all values."""
+    side = lambda c: _list(s, d, c).select(F.col("k").alias("id"), hashes.contents(F.col("v")).alias("hash"))
+    values = O.store(_list(s, d, "o").unionByName(_list(s, d, "a")).unionByName(_list(s, d, "b")).withColumnRenamed("v", "value"))
+    return M.by_key(side("o"), side("a"), side("b"), values).withColumnRenamed("id", "k").select("k", "hash", "conflict")
+
+
+def merge_counter_wraps(s: SparkSession, d: str) -> DataFrame:
+    """Counters near the ends of 64 bits."""
+    k = F.col("k").cast("long")
+    most = F.lit(2**63 - 1).cast("long")
+    m = merges.counter(F.lit(True), F.lit(0).cast("long"), most - k, k * 2)
+    return _cases(s, d).select("k", m["value"].alias("value"))
+
+
+def linked_log(s: SparkSession, d: str) -> DataFrame:
+    """Logs of conversations that two branches went on with, odd turns and even turns, and
+    that a merge joined again: every entry once."""
+    c = table(s, d, "conversations").where("conv_id is not null and turn is not null").select("conv_id", "turn", F.md5("text").alias("message")).groupBy("conv_id", "turn").agg(F.min("message").alias("message"))
+    side = F.when(F.col("turn") < 2, 0).otherwise(1 + F.col("turn") % 2)
+    name = lambda turn: F.concat_ws("-", "conv_id", turn)
+    w = Window.partitionBy("conv_id", "side").orderBy("turn")
+    fork = c.where("turn < 2").groupBy("conv_id").agg(F.max("turn").alias("fork"))
+    rows = c.withColumn("side", side).withColumn("prior", F.lag("turn").over(w)).join(fork, "conv_id", "left")
+    prior = F.coalesce(F.col("prior"), F.when(F.col("side") > 0, F.col("fork")))
+    links = rows.select(name("turn").alias("node"), F.when(prior.isNotNull(), F.array(name(prior))).otherwise(F.array().cast("array<string>")).alias("before"), F.col("turn").alias("ts"), "message", "conv_id")
+    ends = rows.groupBy("conv_id", "side").agg(F.max("turn").alias("turn")).select("conv_id", name("turn").alias("node"))
+    joined = ends.groupBy("conv_id").agg(F.collect_set("node").alias("before")).select(F.concat_ws("-", "conv_id", F.lit("merge")).alias("node"), "before", F.lit(None).cast(links.schema["ts"].dataType).alias("ts"), F.lit(None).cast("string").alias("message"), "conv_id")
+    heads = joined.select(F.col("conv_id").alias("log"), "node")
+    return C.linked_log(links.unionByName(joined), heads).select(F.col("log").alias("conv_id"), F.col("ts").alias("turn"), "message", "place")
+
+
+def log_cursors(s: SparkSession, d: str) -> DataFrame:
+    """Where the second page of each log starts, and what is on it."""
+    old, a, b = _logs(s, d)
+    every = old.unionByName(a).unionByName(b)
+    first = C.read_log(every, "conv_id", "turn", n=2)
+    return C.read_log(every, "conv_id", "turn", C.next_cursors(first, "conv_id", "turn"), 2)
+
+
 QUERIES = {
     "merge_default": (_merged(merges.default), _sql("known and (o is not distinct from a or o is not distinct from b)", _ONE.format("null"), "'default'")),
     "merge_idempotent": (_merged(merges.idempotent), _sql("a is not distinct from b or (known and (o is not distinct from a or o is not distinct from b))", f"case when a is not distinct from b then a else {_ONE.format('null')} end", "'default'")),
@@ -155,4 +201,9 @@ QUERIES = {
     "lww_register": (lww_register, "select '/' || user_id || '/' || event_type as path, max(event_id) as ts, round(arg_max(value, event_id), 2) as v from events group by all"),
     "blob_log_merge": (blob_log_merge, f"with {LOGS}, old as (select * from log where turn < 2), newest as (select conv_id, max(turn) as m from old group by all), kept as (select * from old union all select l.* from log l left join newest using (conv_id) where turn >= 2 and (m is null or turn > m)) select conv_id, turn, message, row_number() over (partition by conv_id order by turn desc, message desc) as place from kept"),
     "linked_log_read": (linked_log_read, f"with {LOGS} select * from (select conv_id, turn, message, row_number() over (partition by conv_id order by turn desc) as place from log where turn < 3) where place <= 2"),
+    "merge_map": (merge_map, f"with {CASES} select k, case when a is null or b is null or a = b then coalesce(a, b) end as v, case when a <> b then 'default' end as conflict from cases where a is not null or b is not null"),
+    "merge_by_key": (merge_by_key, f"with m as ({ALIST}) select k, sha1('B' || v) as hash, conflict from m"),
+    "merge_counter_wraps": (merge_counter_wraps, f"with {CASES} select k, cast(case when k > 0 then k::hugeint - 9223372036854775809 else 9223372036854775807 end as bigint) as value from cases"),
+    "linked_log": (linked_log, "with log as (select conv_id, turn, min(md5(text)) as message from conversations where conv_id is not null and turn is not null group by all) select conv_id, turn, message, row_number() over (partition by conv_id order by turn desc) as place from log"),
+    "log_cursors": (log_cursors, f"with {LOGS}, n as (select *, row_number() over (partition by conv_id order by turn desc) as r from log), c as (select conv_id, min(turn) as cursor from n where r <= 2 group by conv_id), p as (select l.*, row_number() over (partition by conv_id order by turn desc) as place from log l join c using (conv_id) where turn < cursor) select conv_id, turn, message, place from p where place <= 2"),
 }

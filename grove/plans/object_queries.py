@@ -33,18 +33,18 @@ def commit_closure(s: SparkSession, d: str) -> DataFrame:
     """Between the last commit and those that end in 00: a cut that the short cuts go round."""
     c = G.settle(commits(s, d))
     least = c.where("commit % 50 = 0").select("commit").distinct()
-    return G.closure(c, s.range(1).select(F.lit(_head(c)).alias("commit")), least, 40)
+    return G.closure(c, s.range(1).select(F.lit(_head(c)).alias("commit")), least)
 
 
 def lcas_pairs(s: SparkSession, d: str) -> DataFrame:
-    c = G.settle(commits(s, d).where("commit <= 60"))
-    pairs = s.range(1, 10).select((F.col("id") * 6).alias("a"), (F.lit(61) - F.col("id") * 5).alias("b"))
-    return G.lcas(c, pairs)
+    """Every hundredth commit, and the one half as far again."""
+    c = G.settle(commits(s, d))
+    return G.lcas(c, c.where("commit % 100 = 7").select(F.col("commit").alias("a"), F.floor(F.col("commit") * 2 / 3).cast("long").alias("b")).distinct())
 
 
 def fast_forward(s: SparkSession, d: str) -> DataFrame:
-    c = G.settle(commits(s, d).where("commit <= 60"))
-    moves = s.range(0, 12).select(F.when(F.col("id") > 0, F.col("id") * 4).alias("head"), ((F.col("id") * 17) % 59 + 1).alias("target"))
+    c = G.settle(commits(s, d))
+    moves = c.where("commit % 100 = 1").select(F.when(F.col("commit") > 1, F.col("commit")).alias("head"), F.least(F.col("commit") + F.col("commit") % 3 * 20, F.lit(_head(c))).alias("target")).distinct()
     return G.fast_forwards(c, moves)
 
 
@@ -69,9 +69,10 @@ def fast_forward_all(s: SparkSession, d: str) -> DataFrame:
     return G.fast_forwards(c, _mirrored(c).select(F.col("a").alias("head"), F.col("b").alias("target")))
 
 
-_ANC = """anc as (select commit as a, commit as x from commits where commit <= 60 union select a, parent from anc join commits on x = commit where parent is not null),
+_ANC = """heads as (select a as h from pairs union select b from pairs), anc as (select h as a, h as x from heads union select a, parent from anc join commits on x = commit where parent is not null),
 common as (select p.a, p.b, u.x from pairs p join anc u on u.a = p.a join anc v on v.a = p.b and v.x = u.x),
-lca as (select a, b, x as lca from common c where not exists (select 1 from common e join anc z on z.a = e.x and z.x = c.x where e.a = c.a and e.b = c.b and e.x <> c.x))"""
+lca as (select a, b, x as lca from common c where not exists (select 1 from common e join commits k on k.commit = e.x where k.parent = c.x and e.a = c.a and e.b = c.b))"""
+_MOVED = "select head, target, case when head is null then 'ok' when head = target then 'no_change' when (select count(*) from lca where a = head and b = target) = 1 and (select min(lca) from lca where a = head and b = target) = head then 'ok' else 'rejected' end as result from moves"
 
 
 def graph_ends(s: SparkSession, d: str) -> DataFrame:
@@ -214,12 +215,12 @@ _SWAP = " || ".join(f"substr(h, {15 - 2 * i}, 2)" for i in range(8))
 QUERIES = {
     "commit_history": (commit_history, f"with recursive {COMMITS}, {_WALK.format(n=12)} select commit, level from found"),
     "commit_history_edges": (commit_history_edges, f"with recursive {COMMITS}, {_WALK.format(n=8)} select parent, commit from commits where commit in (select commit from found) and parent in (select commit from found)"),
-    "commit_closure": (commit_closure, f"with recursive {COMMITS}, walk as (select max(commit) as commit, 0 as level from numbered union select parent, level + 1 from walk join commits using (commit) where parent is not null and level < 40 and commit % 50 <> 0) select distinct commit from walk"),
-    "lcas_pairs": (lcas_pairs, f"with recursive {COMMITS}, pairs as (select range * 6 as a, 61 - range * 5 as b from range(1, 10)), {_ANC} select a, b, lca from lca"),
-    "fast_forward": (fast_forward, f"with recursive {COMMITS}, moves as (select case when range > 0 then range * 4 end as head, range * 17 % 59 + 1 as target from range(12)), pairs as (select head as a, target as b from moves where head is not null), {_ANC} select head, target, case when head is null then 'ok' when head = target then 'no_change' when (select count(*) from lca where a = head and b = target) = 1 and (select min(lca) from lca where a = head and b = target) = head then 'ok' else 'rejected' end as result from moves"),
-    "commit_history_all": (commit_history_all, None),
-    "lcas_pairs_all": (lcas_pairs_all, None),
-    "fast_forward_all": (fast_forward_all, None),
+    "commit_closure": (commit_closure, f"with recursive {COMMITS}, walk as (select max(commit) as commit, 0 as level from numbered union select parent, 0 from walk join commits using (commit) where parent is not null and commit % 50 <> 0) select distinct commit from walk"),
+    "lcas_pairs": (lcas_pairs, f"with recursive {COMMITS}, pairs as (select distinct commit as a, commit * 2 // 3 as b from commits where commit % 100 = 7), {_ANC} select a, b, lca from lca"),
+    "fast_forward": (fast_forward, f"with recursive {COMMITS}, moves as (select distinct case when commit > 1 then commit end as head, least(commit + commit % 3 * 20, (select max(commit) from commits)) as target from commits where commit % 100 = 1), pairs as (select head as a, target as b from moves where head is not null), {_ANC} {_MOVED}"),
+    "commit_history_all": (commit_history_all, f"with recursive {COMMITS}, {_WALK.format(n=1000000)} select commit, level from found"),
+    "lcas_pairs_all": (lcas_pairs_all, f"with recursive {COMMITS}, pairs as (select distinct commit as a, (select max(commit) from commits) + 1 - commit as b from commits where commit % 50 = 0), {_ANC} select a, b, lca from lca"),
+    "fast_forward_all": (fast_forward_all, f"with recursive {COMMITS}, pairs as (select distinct commit as a, (select max(commit) from commits) + 1 - commit as b from commits where commit % 50 = 0), moves as (select a as head, b as target from pairs), {_ANC} {_MOVED}"),
     "graph_ends": (graph_ends, f"with {COMMITS}, e as (select commit as src, parent as dst from commits where commit % 100 <> 0) select src as node, 'max' as place from e where src not in (select dst from e where dst is not null) group by src union select dst, 'min' from e where dst is not null and dst not in (select src from e where dst is not null)"),
     "heads": (heads, "select event_type as branch, max(event_id) as head, count(*) as commits from events group by event_type"),
     "last_modified": (last_modified, LAST),
@@ -238,7 +239,7 @@ QUERIES = {
     "inode_buckets": (inode_buckets, "select h // 32 as top, h % 32 as next, count(*) as n from (select cast('0x' || substr(sha1(cast(o_orderkey as varchar)), 1, 3) as bigint) // 4 as h from orders) group by all"),
     "slice_export": (slice_export, "with g as (select r_name as a, n_name as b, c_custkey as c, o_orderkey as k from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where year(o_orderdate) >= 1998) select '/' || a || '/' || b || '/' || c || '/' || k as path, 'contents' as kind from g union select '/' || a || '/' || b || '/' || c, 'node' from g union select '/' || a || '/' || b, 'node' from g union select '/' || a, 'node' from g union select '/', 'node' from g"),
     "path_functions": (path_functions, "select p_partkey, '/' || p_brand || '/' || p_type || '/' || p_partkey as path, '/' || p_brand || '/' || p_type as parent, cast(p_partkey as varchar) as last, '/' || p_type || '/' || p_partkey as rest, '/x/' || p_brand || '/' || p_type || '/' || p_partkey || '/y' as more, 3 as size from part"),
-    "hash_family": (hash_family, f"with h as (select c_custkey, c_name, sha1(c_name) as h from customer), s as (select *, {_SWAP} as w from h) select c_custkey, sha1('B' || c_name) as contents, h as contents_v2, sha256(c_name) as sha256, cast('0x' || substr(w, 2, 15) as bigint) as short from s"),
+    "hash_family": (hash_family, f"with h as (select c_custkey, c_name, sha1(c_name) as h from customer), s as (select *, {_SWAP} as w from h) select c_custkey, sha1('B' || c_name) as contents, h as contents_v2, sha256(c_name) as sha256, cast(('0x' || substr(w, 9, 8))::bigint as hugeint) + ((('0x' || substr(w, 1, 8))::bigint % 2147483648) - case when ('0x' || substr(w, 1, 8))::bigint % 2147483648 >= 1073741824 then 2147483648 else 0 end)::hugeint * 4294967296 as short from s"),
     "hash_blake": (hash_blake, None),
     "log_dates": (log_dates, "select c_custkey, strftime(epoch_ms(c_custkey * 86400000), '%a %b %d %H:%M:%S %Y') as date, c_name as name, c_custkey || '@example.org' as mail from customer"),
 }

@@ -170,18 +170,18 @@ def _catalogue(s: SparkSession, d: str, sizes: str = "true") -> DataFrame:
 
 def tree_fold_uniq(s: SparkSession, d: str) -> DataFrame:
     """Different directories of the second level, each with its first path."""
-    return shown(T.unique_visits(_catalogue(s, d, "p_size <= 5")).where(F.size("path") == 2)).select("path")
+    return shown(T.unique_visits(_catalogue(s, d)).where(F.size("path") == 2)).select("path")
 
 
 def tree_fold_uniq_all(s: SparkSession, d: str) -> DataFrame:
-    """The same over parts of all sizes."""
-    return shown(T.unique_visits(_catalogue(s, d)).where(F.size("path") == 2)).select("path")
+    """Different directories of any level, each with its first path."""
+    return shown(T.unique_visits(_catalogue(s, d))).select("path")
 
 
-UNIQ = """with leaves as (select distinct p_brand as b, p_type as t, cast(p_size as varchar) as s from part where p_size <= 5),
+UNIQ = """with leaves as (select distinct p_brand as b, p_type as t, cast(p_size as varchar) as s from part),
 dirs as (select b, t, string_agg(s, ',' order by s) as entries from leaves group by all)
 select '/' || min(struct_pack(b := b, t := t)).b || '/' || min(struct_pack(b := b, t := t)).t as path from dirs group by entries"""
-UNIQ_ALL = UNIQ.replace(" where p_size <= 5", "")
+UNIQ_ALL = UNIQ + """ union all select '/' || min(b) from (select b, string_agg(t || '=' || entries, ';' order by t) as whole from dirs group by b) group by whole union all select '/'"""
 
 
 def tree_diff(s: SparkSession, d: str) -> DataFrame:
@@ -232,6 +232,59 @@ _MERGED = """case when not known then case when a is null then b when b is null
     when o is not distinct from a then b when o is not distinct from b then a when a = b then a end"""
 _CLASH = "(a is not null and b is not null and a <> b and (not known or (o <> a and o <> b))) or (known and (a is null) <> (b is null) and coalesce(a, b) <> o)"
 
+def tree_is_empty(s: SparkSession, d: str) -> DataFrame:
+    return shown(T.emptiness(geo(s, d), _probes(s, d)))
+
+
+def tree_hash_at(s: SparkSession, d: str) -> DataFrame:
+    """Hashes of some directories and absent paths."""
+    keys = _probes(s, d).where((F.size("path") == 3) | (F.get(F.col("path"), F.size("path") - 1) == "none"))
+    return shown(T.hashes_at(geo(s, d), keys))
+
+
+def tree_of_hash(s: SparkSession, d: str) -> DataFrame:
+    """Where contents with each status stand first, and a hash that nothing has."""
+    wanted = s.createDataFrame([("O",), ("F",), ("P",), ("none",)], "value string").select(F.sha1(F.concat(F.lit("B"), "value")).alias("hash"))
+    return shown(T.at_hashes(geo(s, d), wanted))
+
+
+def tree_update_tree(s: SparkSession, d: str) -> DataFrame:
+    """Europe without its even orders; Africa emptied, so it vanishes; a new continent."""
+    odd = T.update_tree(geo(s, d).select(*T.LEAF), ["EUROPE"], lambda t: t.where(F.get(F.col("path"), F.size("path") - 1).cast("long") % 2 == 1))
+    none = T.update_tree(odd, ["AFRICA"], lambda t: t.limit(0))
+    asia = T.subtree(geo(s, d).select(*T.LEAF), ["ASIA"])
+    return shown(T.update_tree(none, ["ATLANTIS"], lambda t: t.unionByName(asia)))
+
+
+def tree_fold(s: SparkSession, d: str) -> DataFrame:
+    """For each customer the states of its orders in the order of their names."""
+    found = T.fold(geo(s, d), 3, F.lit(""), lambda acc, leaf: F.concat(acc, F.substring(leaf["metadata"], 1, 1), leaf["value"]))
+    return shown(found)
+
+
+def tree_visit_random(s: SparkSession, d: str) -> DataFrame:
+    """A fold in random order visits the same."""
+    return shown(T.visits(geo(s, d), "le", 3, order="random", seed=7))
+
+
+def tree_prune(s: SparkSession, d: str) -> DataFrame:
+    """A tree whose parts under Asia and Europe are known by their hashes; its root is the same."""
+    rows = geo(s, d)
+    keys = s.createDataFrame([(["ASIA"],), (["EUROPE"],), (["none"],)], "path array<string>")
+    left, cut = T.prune(rows, keys)
+    root = T.node_hashes(left, pruned=cut).where(F.size("path") == 0)
+    return shown(cut.select("path", "hash").unionByName(root.select("path", "hash")).unionByName(left.agg(F.array(F.lit("left")).alias("path"), F.count("*").cast("string").alias("hash"))))
+
+
+def diff_root_contents(s: SparkSession, d: str) -> DataFrame:
+    """Trees that are contents alone, and trees against contents."""
+    rows = geo(s, d).select(*T.LEAF)
+    leaf = lambda value: s.range(1).select(paths.literal([]).alias("path"), F.lit(value).alias("value"), F.lit(None).cast("string").alias("metadata"))
+    both = M.diff(leaf("a"), leaf("b")).withColumn("case", F.lit("contents"))
+    grown = M.diff(leaf("a"), rows).withColumn("case", F.lit("tree"))
+    return shown(both.unionByName(grown))
+
+
 QUERIES = {
     "tree_find": (tree_find, f"with {GEO}, {PROBES} select path, value, metadata from probes left join (select path, value, metadata from geo) using (path)"),
     "tree_kind": (tree_kind, f"with {GEO}, {PROBES}, {PREFIXES} select path, kind from probes left join (select path, 'contents' as kind from geo union all select path, 'node' from dirs) using (path)"),
@@ -257,5 +310,12 @@ QUERIES = {
     "tree_equal": (tree_equal, "select 'base base' as pair, true as same union all select 'base ours', false"),
     "merge_commit_mode": (merge_commit_mode, f"with {VERSIONS}, {SIDES} select path, case when {_CLASH} then null else {_MERGED} end as value, case when {_CLASH} then null else metadata end as metadata, case when {_CLASH} then case when a is null or b is null then 'option: add/del' else 'default' end end as conflict from sides where ({_CLASH}) or ({_MERGED}) is not null"),
     "merge_tree_conflicts": (merge_tree_conflicts, CONFLICTS),
+    "tree_is_empty": (tree_is_empty, f"with {GEO}, {PROBES} select path, path like '%/none' as empty from probes"),
+    "tree_hash_at": (tree_hash_at, MERKLE[: MERKLE.rindex("select path, hash from l3 union all")] + "select path, 'node' as kind, hash from l3 union all select path || '/none', null, null from geo"),
+    "tree_of_hash": (tree_of_hash, f"with {GEO}, f as (select value, min((s1, s2, s3, s4)) as p from geo group by value) select sha1('B' || value) as hash, 'contents' as kind, '/' || p[1] || '/' || p[2] || '/' || p[3] || '/' || p[4] as path from f union all select sha1('Bnone'), null, null"),
+    "tree_update_tree": (tree_update_tree, f"with {GEO} select path, value, metadata from geo where s1 <> 'AFRICA' and (s1 <> 'EUROPE' or key % 2 = 1) union all select '/ATLANTIS' || substr(path, 6), value, metadata from geo where s1 = 'ASIA'"),
+    "tree_fold": (tree_fold, f"with {GEO} select '/' || s1 || '/' || s2 || '/' || s3 as path, string_agg(substr(metadata, 1, 1) || value, '' order by s4) as acc from geo group by all"),
+    "tree_visit_random": (tree_visit_random, f"with {GEO} select '/' as path, 'node' as kind, 0 as depth union all select distinct '/' || s1, 'node', 1 from geo union all select distinct '/' || s1 || '/' || s2, 'node', 2 from geo union all select distinct '/' || s1 || '/' || s2 || '/' || s3, 'node', 3 from geo"),
+    "tree_prune": (tree_prune, MERKLE[: MERKLE.rindex("select path, hash from l3 union all")] + "select path, hash from l1 where path in ('/ASIA', '/EUROPE') union all select path, hash from l0 union all select '/left', cast(count(*) as varchar) from geo where s1 not in ('ASIA', 'EUROPE')"),
+    "diff_root_contents": (diff_root_contents, f"with {GEO} select 'contents' as \"case\", '/' as path, 'updated' as kind, 'a' as old_value, null as old_metadata, 'b' as new_value, null as new_metadata union all select 'tree', '/', 'removed', 'a', null, null, null union all select 'tree', path, 'added', null, null, value, metadata from geo"),
 }
-__all__ = ["QUERIES", "merges"]

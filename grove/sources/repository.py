@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths
-from ..operators import graph, objects, trees
+from ..functions import merges, paths
+from ..operators import commits as C
+from ..operators import graph, merge, objects, trees
 
 SCHEMAS = {
     "contents": "hash string, value string",
@@ -15,14 +20,36 @@ SCHEMAS = {
 }
 
 
+RETRIES = 13  # Fixed value: how often a change of a branch is tried again
+LAST = "\n"  # ends a version of a branch that is written in full
+
+
 class Conflict(ValueError):
     """A branch was not where the caller thought."""
 
 
+class TooManyRetries(Conflict):
+    """A branch moved under every attempt to change it."""
+
+
+class TestWas(ValueError):
+    """A subtree was not what the caller thought; ``tree`` is what it was (None: absent)."""
+
+    def __init__(self, path: list[str], tree: DataFrame | None):
+        super().__init__("/" + "/".join(path))
+        self.tree = tree
+
+
+def _or_raise(value: Column, what: str, key: Column) -> Column:
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit(f"{what} "), key)).cast("string"))
+
+
 class Repository:
-    """Tables under one folder of any store that Spark reads. Objects are only ever appended,
+    """Tables under one folder of a store that Spark reads. Objects are only ever appended,
     and only those that are new; a branch moves by creating its next version, which fails if
-    somebody else has created it."""
+    somebody else has created it. That needs a store whose creation without overwriting is
+    atomic, as HDFS and local disks have it and many object stores have not. A version that
+    isn't written in full is not there yet, and keeps others from moving the branch."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -38,44 +65,58 @@ class Repository:
 
     def _append(self, name: str, rows: DataFrame, key: list[str]) -> None:
         new = rows.dropDuplicates(key).join(self.table(name).select(*key), key, "left_anti")
-        graph.settle(new).write.mode("append").parquet(f"{self.folder}/{name}")
+        new.write.mode("append").parquet(f"{self.folder}/{name}")
 
     def write_tree(self, leaves: DataFrame) -> str:
         """Store a tree and return its root hash."""
         from ..operators.proofs import entries
 
-        rows = graph.settle(entries(leaves))
-        hashed = trees.node_hashes(leaves).where("kind = 'node'").select(F.col("path").alias("parent"), F.col("hash").alias("node_hash"))
-        found = graph.settle(hashed)
-        node_rows = rows.join(found, "parent").select("node_hash", "step", "kind", F.col("hash").alias("child_hash"), "metadata")
+        found = graph.settle(trees.node_hashes(leaves))
+        hashed = found.where("kind = 'node'").select(F.col("path").alias("parent"), F.col("hash").alias("node_hash"))
+        node_rows = entries(leaves, hashed=found).join(hashed, "parent").select("node_hash", "step", "kind", F.col("hash").alias("child_hash"), "metadata")
         self._append("contents", objects.store(leaves), ["hash"])
         self._append("nodes", node_rows, ["node_hash", "step"])
-        root = found.where(F.size("parent") == 0).select("node_hash").first()
+        root = hashed.where(F.size("parent") == 0).select("node_hash").first()
         return root[0] if root else empty_root(self.spark)
 
     def read_tree(self, root: str) -> DataFrame:
-        """The leaves under a root hash, a join a level."""
-        nodes, level, out = self.table("nodes"), None, None
+        """The leaves under a root hash, a join a level. A node or contents that is not there
+        (a dangling or pruned hash) is an error when it is read."""
+        nodes, out = self.table("nodes"), None
         level = self.spark.range(1).select(paths.literal([]).alias("path"), F.lit(root).alias("node_hash"))
+        if root == empty_root(self.spark):
+            level = level.limit(0)
         while True:
-            rows = graph.settle(level.join(nodes, "node_hash").select(F.concat("path", F.array("step")).alias("path"), "kind", F.col("child_hash").alias("node_hash"), "metadata"))
+            below = level.join(nodes, "node_hash", "left").withColumn("step", _or_raise(F.col("step"), "dangling node", F.col("node_hash")))
+            rows = graph.settle(below.select(F.concat("path", F.array("step")).alias("path"), "kind", F.col("child_hash").alias("node_hash"), "metadata"))
             leaves = rows.where("kind = 'contents'")
             out = leaves if out is None else out.unionByName(leaves)
             level = rows.where("kind = 'node'").select("path", "node_hash")
             if level.isEmpty():
                 break
-        return out.withColumnRenamed("node_hash", "hash").join(self.table("contents"), "hash").select("path", "value", "metadata")
+        found = out.withColumnRenamed("node_hash", "hash").join(self.table("contents"), "hash", "left")
+        return graph.settle(found.select("path", _or_raise(F.col("value"), "dangling contents", F.col("hash")).alias("value"), "metadata"))
 
     def commit(self, leaves: DataFrame, parents: list[str], date: int, author: str, message: str) -> str:
-        """Store a tree and a commit of it; returns the commit's hash."""
+        """Store a tree and a commit of it; returns the commit's hash. Contents alone, a leaf
+        at the root, are no tree to commit."""
+        if not leaves.where(F.size("path") == 0).isEmpty():
+            raise ValueError("cannot commit contents at the root")
         node = self.write_tree(leaves)
         row = self.spark.range(1).select(F.lit(node).alias("node_hash"), paths.literal(sorted(parents)).alias("parents"), F.lit(date).cast("long").alias("date"), F.lit(author).alias("author"), F.lit(message).alias("message"))
-        row = row.select(F.sha1(F.concat_ws("\x1f", F.lit("commit"), "node_hash", F.array_join("parents", ","), F.col("date").cast("string"), "author", "message")).alias("hash"), "*")
+        row = graph.settle(row.select(objects.commit_hash().alias("hash"), "*"))
         self._append("commits", row, ["hash"])
         return row.first().hash
 
     def checkout(self, commit: str) -> DataFrame:
-        return self.read_tree(self.table("commits").where(F.col("hash") == commit).first().node_hash)
+        return self.read_tree(self.info(commit).node_hash)
+
+    def info(self, commit: str):
+        """The row of a commit: its root, parents, date, author and message."""
+        row = self.table("commits").where(F.col("hash") == commit).first()
+        if row is None:
+            raise KeyError(commit)
+        return row
 
     def _fs(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/branches/{name}")
@@ -83,34 +124,230 @@ class Repository:
 
     def _versions(self, branch: str) -> list[int]:
         fs, path = self._fs(branch)
-        return sorted(int(f.getPath().getName()) for f in fs.listStatus(path)) if fs.exists(path) else []
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit()) if fs.exists(path) else []
+
+    def _read(self, branch: str, version: int) -> str | None:
+        """What a version says; None where it isn't written in full."""
+        fs, path = self._fs(f"{branch}/{version}")
+        stream = fs.open(path)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return text.removesuffix(LAST) if text.endswith(LAST) else None
+
+    def _state(self, branch: str) -> tuple[int, str | None, bool]:
+        """The next version, the head, and whether nobody is about to write that version."""
+        versions = self._versions(branch)
+        said = self._read(branch, versions[-1]) if versions else ""
+        if said is None:
+            before = self._read(branch, versions[-2]) if len(versions) > 1 else ""
+            return versions[-1] + 1, before or None, False
+        return (versions[-1] + 1 if versions else 0), said or None, True
 
     def head(self, branch: str) -> str | None:
         """The commit of a branch; null where it has none."""
-        versions = self._versions(branch)
-        if not versions:
-            return None
-        text = self.spark.read.text(f"{self.folder}/branches/{branch}/{versions[-1]}").first()
-        return text[0] if text and text[0] else None
+        return self._state(branch)[1]
+
+    def branches(self) -> dict[str, str]:
+        """The heads of all branches that have one."""
+        fs, path = self._fs("")
+        names, todo = [], [path] if fs.exists(path) else []
+        top = fs.makeQualified(path).toString()
+        while todo:  # names may have slashes: a folder that holds versions is a branch
+            here = todo.pop()
+            inner = list(fs.listStatus(here))
+            todo += [f.getPath() for f in inner if f.isDirectory()]
+            if any(f.isFile() and f.getPath().getName().isdigit() for f in inner):
+                names.append(here.toString().removeprefix(top).strip("/"))
+        return {n: h for n in sorted(names) if (h := self.head(n)) is not None}
 
     def test_and_set(self, branch: str, test: str | None, new: str | None) -> bool:
         """Move a branch if it is at ``test`` (null: absent); a null ``new`` removes it."""
-        if not self.spark.range(1).select(paths.valid_branch(F.lit(branch))).first()[0]:
+        if not re.search(paths.BRANCH, branch):
             raise ValueError(f"invalid branch name: {branch}")
-        versions = self._versions(branch)
-        if self.head(branch) != test:
+        version, head, free = self._state(branch)
+        if head != test or not free:
             return False
-        fs, path = self._fs(f"{branch}/{versions[-1] + 1 if versions else 0}")
+        fs, path = self._fs(f"{branch}/{version}")
         try:
             out = fs.create(path, False)
         except Exception as why:
             if "AlreadyExists" in str(why) or "already exists" in str(why):
                 return False
             raise
-        out.write(bytearray((new or "").encode()))
+        out.write(bytearray(((new or "") + LAST).encode()))
         out.close()
         return True
 
+    def set_head(self, branch: str, commit: str | None) -> None:
+        """Put a branch at a commit, wherever it is; None removes it."""
+        self._retry(lambda: (None, self.test_and_set(branch, self.head(branch), commit)))
+
+    def clone(self, src: str, dst: str) -> None:
+        """Put ``dst`` where ``src`` is; without a head there, ``dst`` is removed."""
+        self.set_head(dst, self.head(src))
+
+    def _retry(self, attempt: Callable[[], tuple], retries: int = RETRIES):
+        for _ in range(retries + 1):
+            out, moved = attempt()
+            if moved:
+                return out
+        raise TooManyRetries(retries)
+
+    def snapshot(self, branch: str, path: list[str]) -> tuple[str | None, DataFrame, DataFrame | None]:
+        """The head, its whole tree, and the subtree at a path (None: absent)."""
+        head = self.head(branch)
+        root = self.checkout(head) if head else self._nothing()
+        part = trees.subtree(root, path) if path else root
+        return head, root, None if part.isEmpty() else part
+
+    def _nothing(self) -> DataFrame:
+        return self.spark.createDataFrame([], "path array<string>, value string, metadata string")
+
+    def update(self, branch: str, path: list[str], new: Callable[[DataFrame | None], DataFrame | None], date: int, author: str, message: str, check: Callable | None = None, allow_empty: bool = False, retries: int = RETRIES) -> str | None:
+        """Commit ``new(subtree)`` at a path of a branch and move the branch there; the commit,
+        or None where nothing changes. All of it is tried again if the branch moved meanwhile.
+
+        ``check(current, new)`` gives what is put there instead, or raises."""
+
+        def attempt() -> tuple:
+            head, root, current = self.snapshot(branch, path)
+            made = new(current)
+            made = made if made is None or path == [] and made is current else graph.settle(made.select(*trees.LEAF))
+            made = None if made is None or made.isEmpty() else made
+            if head and not allow_empty and _same_tree(current, made):
+                return None, True
+            if check is not None:
+                made = check(current, made)
+            made = self._nothing() if made is None else made
+            tree = trees.add_tree(root, path, made) if path else made
+            commit = self.commit(tree, [head] if head else [], date, author, message)
+            return commit, self.test_and_set(branch, head, commit)
+
+        return self._retry(attempt, retries)
+
+    def set(self, branch: str, path: list[str], value: str, date: int, author: str, message: str, **more) -> str | None:
+        """One value at a path; what stood there or on the way gives way."""
+        leaf = self.spark.range(1).select(paths.literal([]).alias("path"), F.lit(value).alias("value"), F.lit(None).cast("string").alias("metadata"))
+        return self.update(branch, path, lambda _: leaf, date, author, message, **more)
+
+    def remove(self, branch: str, path: list[str], date: int, author: str, message: str, **more) -> str | None:
+        return self.update(branch, path, lambda _: None, date, author, message, **more)
+
+    def test_set_and_get(self, branch: str, path: list[str], test: DataFrame | None, new: DataFrame | None, date: int, author: str, message: str, **more) -> str | None:
+        """Replace the subtree at a path if it is ``test`` (None: absent), and return the
+        commit, None where nothing changes; raises ``TestWas`` where it is another."""
+
+        def check(current: DataFrame | None, made: DataFrame | None) -> DataFrame | None:
+            if not _same_tree(current, test):
+                raise TestWas(path, current)
+            return made
+
+        return self.update(branch, path, lambda _: new, date, author, message, check, **more)
+
+    def merge_tree(self, branch: str, path: list[str], old: DataFrame | None, new: DataFrame | None, date: int, author: str, message: str, contents: merges.Merge = merges.string_contents, **more) -> str | None:
+        """Merge a subtree, made from ``old``, with what a branch has at a path now."""
+
+        def check(current: DataFrame | None, made: DataFrame | None) -> DataFrame | None:
+            if _same_tree(old, current):
+                return made
+            if _same_tree(old, made):
+                return current
+            if current is None or made is None:
+                if old is not None and (current is not None or made is not None):
+                    raise C.MergeConflict(merge.ADD_DEL)
+                return made if current is None else current
+            return merge.tree_mode(old, current, made, contents)
+
+        return self.update(branch, path, lambda _: new, date, author, message, check, **more)
+
+    def with_tree(self, branch: str, path: list[str], change: Callable[[DataFrame | None], DataFrame | None], date: int, author: str, message: str, strategy: str = "test_and_set", retries: int = RETRIES, **more) -> str | None:
+        """Commit ``change(subtree)`` at a path, where ``change`` may take its time: what others
+        do meanwhile is overwritten (``set``), makes ``change`` run again on the new subtree
+        (``test_and_set``) or is merged, and ``change`` run again on a conflict (``merge``)."""
+        old = self.snapshot(branch, path)[2]
+        for tries in range(retries + 2):
+            new = change(old)
+            if strategy == "set":
+                return self.update(branch, path, lambda _, new=new: new, date, author, message, **more)
+            try:
+                if strategy == "merge":
+                    return self.merge_tree(branch, path, old, new, date, author, message, **more)
+                return self.test_set_and_get(branch, path, old, new, date, author, message, **more)
+            except TestWas as was:
+                if tries >= retries:
+                    raise
+                old = was.tree
+            except C.MergeConflict:
+                if tries >= retries:
+                    raise
+                old = self.snapshot(branch, path)[2]
+        raise TooManyRetries(retries)
+
+    def _known(self) -> C.Virtual:
+        return C.Virtual(graph.settle(self.commit_edges()), self.checkout)
+
+    def _store(self, known: C.Virtual, merged: str, date: int, author: str, message: str) -> str:
+        """A merged commit, with its parents, in the tables."""
+        if merged not in known.made:
+            return merged
+        parents = [self._store(known, p, date, author, message) for p in known.parents(merged)]
+        return self.commit(known.made[merged], parents, date, author, message)
+
+    def merge_commit(self, branch: str, commit: str, date: int, author: str, message: str, contents: merges.Merge = merges.string_contents, max_depth: int | None = None, n: int | None = None) -> str:
+        """Merge a commit into a branch: the branch's new head. An absent branch takes the
+        commit itself; raises ``MergeConflict`` and leaves the branch where it is."""
+
+        def attempt() -> tuple:
+            head = self.head(branch)
+            made = commit
+            if head is not None:
+                known = self._known()
+                made = self._store(known, C.three_way(known, commit, head, contents, max_depth, n), date, author, message)
+            return made, made == head or self.test_and_set(branch, head, made)
+
+        return self._retry(attempt)
+
+    def merge_branch(self, into: str, other: str, date: int, author: str, message: str, **more) -> str:
+        """Merge the head of one branch into another; the other branch stays."""
+        head = self.head(other)
+        if head is None:
+            raise ValueError(f"{other} is not a valid branch ID")
+        return self.merge_commit(into, head, date, author, message, **more)
+
+    def lcas(self, branch: str, other: str | None = None, commit: str | None = None, max_depth: int | None = None, n: int | None = None) -> list[str]:
+        """The lowest common ancestors of a branch's head and another branch's, or a commit."""
+        ours, theirs = self.head(branch), commit if other is None else self.head(other)
+        if ours is None or theirs is None:
+            raise ValueError("a branch has no head")
+        pair = self.spark.range(1).select(F.lit(ours).alias("a"), F.lit(theirs).alias("b"))
+        return sorted(r.lca for r in graph.lcas(self.commit_edges(), pair, max_depth, n).collect())
+
+    def fast_forward(self, branch: str, commit: str) -> str:
+        """Move a branch to a later commit of its own line: ok, no_change or rejected."""
+        head = self.head(branch)
+        move = self.spark.range(1).select(F.lit(head).cast("string").alias("head"), F.lit(commit).alias("target"))
+        result = graph.fast_forwards(self.commit_edges(), move).first().result
+        if result == "ok" and not self.test_and_set(branch, head, commit):
+            return "rejected"
+        return result
+
+    def last_modified(self, branch: str, path: list[str], n: int = 1, depth: int | None = None) -> list[str]:
+        """The latest commits that changed the value at a path, by a walk from the head."""
+        head = self.head(branch)
+        if head is None:
+            raise ValueError("a branch has no head")
+        return graph.first_changes(self.commit_edges(), self.values_at(path), head, n, depth)
+
+    def values_at(self, path: list[str]) -> DataFrame:
+        """``commit, value`` of one path in all commits: a join a step, for all at once."""
+        level = self.table("commits").select(F.col("hash").alias("commit"), F.col("node_hash").alias("at"))
+        nodes = self.table("nodes")
+        for i, step in enumerate(path):
+            kind = "contents" if i == len(path) - 1 else "node"
+            here = nodes.where((F.col("step") == step) & (F.col("kind") == kind)).select(F.col("node_hash").alias("at"), F.col("child_hash").alias("to"))
+            level = level.join(here, "at").select("commit", F.col("to").alias("at"))
+        return level.join(self.table("contents").select(F.col("hash").alias("at"), "value"), "at").select("commit", "value")
+
     def set_tree(self, branch: str, leaves: DataFrame, date: int, author: str, message: str) -> str | None:
         """Commit a tree on a branch; null, and no commit, if nothing changes."""
         head = self.head(branch)
@@ -125,23 +362,45 @@ class Repository:
         """``commit, parent, date`` for the graph operators."""
         return self.table("commits").select(F.col("hash").alias("commit"), F.explode_outer("parents").alias("parent"), "date")
 
-    def export(self, heads: list[str]) -> dict[str, DataFrame]:
-        """The slice that ``heads`` reach: their past commits, and all nodes and contents
-        under these."""
+    def edges(self) -> DataFrame:
+        """What every object leads to, for ``graph.visits``."""
+        rows = [(name, head) for name, head in self.branches().items()]
+        return graph.object_edges(self.spark.createDataFrame(rows, "branch string, head string"), self.table("commits"), self.table("nodes"))
+
+    def export(self, heads: list[str] | None = None, least: list[str] | None = None, depth: int | None = None, full: bool = True) -> dict[str, DataFrame]:
+        """The slice between ``heads`` (all, where None) and the commits of ``least``, which are
+        in it: the commits, at most ``depth`` levels of them, and all nodes and contents under
+        these. Not ``full``: commits alone."""
         commits, nodes = self.table("commits"), self.table("nodes")
-        start = self.spark.range(1).select(F.explode(paths.literal(heads)).alias("node")).withColumn("origin", F.lit(0))
-        past = graph.reach(graph.parents(self.commit_edges()), start.select("origin", "node")).select(F.col("node").alias("hash"))
-        kept = graph.settle(commits.join(past, "hash", "left_semi"))
+        of = lambda hashes: self.spark.createDataFrame([(h,) for h in hashes], "commit string")
+        past = graph.closure(self.commit_edges(), of(sorted(set(self.branches().values())) if heads is None else heads), of(least or []), depth)
+        kept = graph.settle(commits.join(past.select(F.col("commit").alias("hash")).distinct(), "hash", "left_semi"))
+        if not full:
+            return {"commits": kept, "nodes": nodes.limit(0), "contents": self.table("contents").limit(0)}
         roots = kept.select(F.lit(0).alias("origin"), F.col("node_hash").alias("node")).distinct()
         live = graph.reach(nodes.select(F.col("node_hash").alias("src"), F.col("child_hash").alias("dst")), roots).select(F.col("node").alias("hash")).distinct()
         return {"commits": kept, "nodes": nodes.join(live.withColumnRenamed("hash", "node_hash"), "node_hash", "left_semi"), "contents": self.table("contents").join(live, "hash", "left_semi")}
 
     def load(self, sliced: dict[str, DataFrame]) -> None:
-        """Import a slice: contents, whose hashes are checked, then nodes, then commits;
-        branches stay."""
+        """Import a slice: contents, nodes and commits, whose hashes are checked; branches
+        stay. A row whose hash isn't its own is an error, and nothing after it is imported."""
         self._append("contents", objects.import_slice(self.table("contents"), sliced["contents"]), ["hash"])
-        self._append("nodes", sliced["nodes"], ["node_hash", "step"])
-        self._append("commits", sliced["commits"], ["hash"])
+        self._append("nodes", objects.checked_nodes(sliced["nodes"]), ["node_hash", "step"])
+        self._append("commits", objects.checked_commits(sliced["commits"]), ["hash"])
+
+    def one_commit(self, commit: str, folder: str) -> Repository:
+        """A repository under ``folder`` with one commit and its tree, and none of its past."""
+        other = Repository(self.spark, folder)
+        other.load(self.export([commit], depth=0))
+        return other
+
+    def integrity(self, heads: list[str] | None = None) -> DataFrame:
+        """``kind, key, problem`` of what ``heads`` (all, where None) lead to and what is
+        missing, or is not what its hash says (corrupted)."""
+        heads = sorted(set(self.branches().values())) if heads is None else heads
+        most = self.spark.createDataFrame([("commit", h) for h in heads], "kind string, key string")
+        found = graph.visits(graph.object_edges(self.spark.createDataFrame([], "branch string, head string"), self.table("commits"), self.table("nodes")), most)
+        return objects.problems(found.select("kind", F.col("key").alias("hash")), self.table("commits"), self.table("nodes"), self.table("contents"), empty_root(self.spark))
 
     def collect_garbage(self, heads: list[str], folder: str) -> Repository:
         """A repository under ``folder`` with only what ``heads`` reach."""
@@ -152,4 +411,8 @@ class Repository:
 
 def empty_root(spark: SparkSession) -> str:
     """The root hash of the empty tree."""
-    return spark.range(1).select(F.sha1(F.lit("0,0,0"))).first()[0]
+    return hashlib.sha1(b"0,0,0").hexdigest()
+
+
+def _same_tree(x: DataFrame | None, y: DataFrame | None) -> bool:
+    return x is y if x is None or y is None else merge.diff(x, y).isEmpty()

@@ -54,3 +54,13 @@ def watch_key(events: DataFrame, values: DataFrame) -> DataFrame:
     rows = events.select("branch", "seq", "before", "after").join(side("before", "old"), "before", "left").join(side("after", "new"), "after", "left")
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("updated")
     return rows.where(~F.col("old").eqNullSafe(F.col("new"))).select("branch", "seq", kind.alias("kind"), "old", "new")
+
+
+def lift(events: DataFrame, commits: DataFrame) -> DataFrame:
+    """Events of heads as events of commits (``hash``): a head that no commit has counts as
+    absent, so an update becomes an addition or a removal, and where both are unknown there
+    is no event."""
+    side = lambda name, as_: commits.select(F.col("hash").alias(name), F.col("hash").alias(as_))
+    rows = events.select("branch", "seq", "before", "after").join(side("before", "old"), "before", "left").join(side("after", "new"), "after", "left")
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("updated")
+    return rows.where(F.col("old").isNotNull() | F.col("new").isNotNull()).select("branch", "seq", kind.alias("kind"), F.col("old").alias("before"), F.col("new").alias("after"))

@@ -22,7 +22,7 @@ def test_averages_of_the_whole_trace_go_over_blocks(spark):
         for n, (at, x) in enumerate(values, 1):
             hidden = 0.5 * hidden + 0.5 * x
             want[op, at] = hidden / (1 - 0.5**n)
-    found = {(r.op, r.row_idx): r.ema for r in catalog.queries()["ema_evolution_all"](spark, DATA).collect()}
+    found = {(r.op, r.row_idx): r.ema for r in catalog.queries()["ema_evolution"](spark, DATA).collect()}
     assert found.keys() == want.keys()
     assert all(found[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
