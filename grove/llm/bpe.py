@@ -151,9 +151,9 @@ class Compiled:
     beyond that it starts afresh, which changes no result.
     """
 
-    WORDS = 16 << 20  # bytes of pre-tokens and what is known of them
+    WORDS = 48 << 20  # bytes of pre-tokens and what is known of them
     LONG = 256  # a longer pre-token is not remembered
-    STATES_KEPT = 120_000
+    STATES_KEPT = 250_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -264,7 +264,7 @@ class Compiled:
 class Ids:
     """Token ids of pre-tokens, from the library's own model, remembered as ``Compiled`` does."""
 
-    WORDS, LONG = Compiled.WORDS, Compiled.LONG
+    WORDS, LONG = 24 << 20, Compiled.LONG
 
     def __init__(self, path: str):
         self.library = _library(path)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .arrow import utf8
+from .arrow import small, utf8
 from .bpe import compiled, slices, split, with_special
 from .shared import table
 
@@ -35,7 +35,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = compiled(file)
-        for batch in batches:
+        for batch in small(batches):
             raw, offsets = utf8(batch.column(1))
             counts = np.zeros(len(offsets) - 1, np.int64)
             for a, b, data, lengths in slices(raw, offsets, SLICE):
