@@ -28,3 +28,10 @@ def runs(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         to = min(max(to, at + 1), n)
         yield at, to
         at = to
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that copies of a column are small beside Spark's own batch."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)

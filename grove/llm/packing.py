@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import utf8
+from .arrow import small, utf8
 from .bpe import ids as own_ids
 from .bpe import slices, split, with_special
 from .shared import table
@@ -27,7 +27,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Every document as ids and one end id, cut into pieces of at most ``capacity``.
 
     Returns ``id_col, piece, start, length, ids_crc32, copy`` and, ``with_ids``, ``ids``;
-    ``copy`` numbers rows of one id that came in one Arrow batch. Only a document of more than ``capacity`` ids is cut; its first piece may be shorter, all
+    ``copy`` numbers rows of one id that came close together. Only a document of more than ``capacity`` ids is cut; its first piece may be shorter, all
     others are full. A null text is empty: its one piece holds the end id alone.
     """
     file = path or vocabulary()
@@ -35,7 +35,10 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = own_ids(file)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        copies: Counter = Counter()
+        for batch in small(batches):
+            if len(copies) > GROUP:
+                copies.clear()
             raw, offsets = utf8(batch.column(1))
             parts: list[list[bytes]] = [[] for _ in range(len(batch))]
             for a, b, data, lengths in slices(raw, offsets, SLICE):
@@ -46,7 +49,6 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i in with_special(raw, offsets):
                 parts[i] = [np.array(bpe.library.encode(bytes(raw[offsets[i] : offsets[i + 1]]).decode(), add_special_tokens=False).ids, "<u4").tobytes()]
             rows, out = [], []
-            copies: Counter = Counter()
             for i, (key, own) in enumerate(zip(batch.column(0).to_pylist(), parts, strict=True)):
                 copy = copies[key]
                 copies[key] += 1

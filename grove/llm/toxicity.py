@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,11 +140,14 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def score(text: Column, model: Model) -> Column:
     """The model's score of a text column (null: empty), 0 to 1."""
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = model.scorer()
         for texts in batches:
-            yield pd.Series([float(one(t)) for t in texts])
+            found: list[float] = []
+            for at in range(0, len(texts), 512):
+                found.extend(float(one(t)) for t in texts.slice(at, 512).to_pylist())
+            yield pa.array(found, pa.float64())
 
     return of(F.coalesce(text, F.lit("")))
 
