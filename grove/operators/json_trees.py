@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from .graph import settle
 
-_ABSENT = object()  # no value at all, which is not the JSON value null
+
+class _ABSENT:
+    """No value at all, which is not the JSON value null; a class is the same in every worker."""
+
 
 # How conflicts are named.
 DATATYPES, ADD_ADD, CHANGED, ADD_DEL = "Conflicting JSON datatypes", "default: add/add and no common ancestor", "default", "option: add/del"
