@@ -17,12 +17,16 @@ from .shared import table
 UNITS = 8  # of each direction
 SPAN = 128  # bytes over which state is carried; a text is read span by span
 ROWS = 400  # training rows by language
+LANGUAGES = 256  # languages that are learnt: those of most rows
 WINDOW = 400  # characters of a training row, from a place that its id's hash gives
 SLICE = 1 << 20  # bytes that are read in step
 
 
 class Network:
-    """Two gated recurrent layers, one from each side, and a softmax at every byte."""
+    """Two gated recurrent layers, one from each side, and a softmax at every byte.
+
+    State is carried over a span of bytes and starts anew with the next: ``SPAN`` bytes where
+    texts are read, ``span`` of ``train`` where it learns."""
 
     def __init__(self, languages: list[str], seed: int = 5):
         rng, h, k = np.random.default_rng(seed), UNITS, len(languages)
@@ -159,11 +163,11 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """Train on about ``ROWS`` rows of each language, chosen by a hash of the id among those
-    that are not held out and have a text and a language; of each at most ``WINDOW``
-    characters. What comes to the driver is bounded by the number of languages."""
+    """Train on about ``ROWS`` rows of each of ``LANGUAGES`` languages, chosen by a hash of the
+    id among those that are not held out and have a text and a language; of each at most
+    ``WINDOW`` characters. What comes to the driver is bounded by these three."""
     rows = documents.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    shares = {r[lang_col]: min(1.0, ROWS / r["count"]) for r in rows.groupBy(lang_col).count().collect()}
+    shares = {r[lang_col]: min(1.0, ROWS / r["count"]) for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
     if not shares:
         return None
     hashed = F.xxhash64(F.col(id_col))
@@ -177,7 +181,8 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def predict_language(df: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, lang_pred, score`` of every row: one narrow pass over whole texts.
 
-    ``score`` is the mean probability of ``lang_pred`` over all bytes. A text that is null or
+    ``score`` is the mean probability of ``lang_pred`` over all bytes, each read within its
+    span of ``SPAN`` bytes. A text that is null or
     has no letter, or any text where there was nothing to learn from, is ``und`` with score
     0. Null and repeated ids are kept; other columns are not looked at.
     """

@@ -49,6 +49,38 @@ class Model:
         return lambda text: 1 / (1 + np.exp(-np.clip(self.bias + sum(sorted(map(weight, set(WORD.findall(text.lower()))))), -60, 60)))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def _flat(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Features of all rows side by side, the row of each, and the number of rows."""
+    return np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags)
+
+
+def _logits(w: np.ndarray, index: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(owner, w[index], size) + w[-1]
+
+
+def corrected_risk(w: np.ndarray, pos: tuple, unl: tuple, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of weights ``w`` (the bias last), and the gradient to follow: its
+    own, or where the part on negatives is below zero that part's turned round."""
+
+    def gradient(slopes: np.ndarray, index: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+        g = np.bincount(index, slopes[owner], len(w))
+        g[-1] = slopes.sum()
+        return g / size
+
+    zp, zu = _logits(w, *pos), _logits(w, *unl)
+    # Logistic loss: l(+) = log(1 + e^-z), l(-) = log(1 + e^z).
+    on_positives = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    g_negative = gradient(_sigmoid(zu), *unl) - prior * gradient(_sigmoid(zp), *pos)
+    if negative < 0:
+        return float(on_positives), -g_negative
+    return float(on_positives + negative), prior * gradient(_sigmoid(zp) - 1, *pos) + g_negative
+
+
 def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-3) -> Model:
     """Minimise the non-negative PU risk of a logistic classifier by Adam, all
     rows at each step.
@@ -83,32 +115,16 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     w[n] = base
 
-    def flat(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        return np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags)
-
-    def forward(index: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(owner, w[index], size) + w[n]
-
-    def gradient(slopes: np.ndarray, index: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
-        g = np.bincount(index, slopes[owner], n + 1)
-        g[n] = slopes.sum()
-        return g / size
-
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    pos, unl = flat(pos), flat(unl)
+    pos, unl = _flat(pos), _flat(unl)
     for step in range(1, steps + 1):
-        zp, zu = forward(*pos), forward(*unl)
-        # Logistic loss: l(+) = log(1 + e^-z), l(-) = log(1 + e^z).
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_negative = gradient(sigmoid(zu), *unl) - prior * gradient(sigmoid(zp), *pos)
-        g = prior * gradient(sigmoid(zp) - 1, *pos) + g_negative if negative >= 0 else -g_negative
+        _, g = corrected_risk(w, pos, unl, prior)
         g[:n] += l2 * w[:n]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    zu, lo, hi = forward(*unl), -60.0, 60.0
+    zu, lo, hi = _logits(w, *unl), -60.0, 60.0
     for _ in range(60):
         shift = (lo + hi) / 2
-        lo, hi = (lo, shift) if sigmoid(zu + shift).mean() > prior else (shift, hi)
+        lo, hi = (lo, shift) if _sigmoid(zu + shift).mean() > prior else (shift, hi)
     w[n] += lo
     names = list(vocabulary)
     return Model({names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w[:n]) > 1e-3)}, float(w[n]))
