@@ -92,7 +92,7 @@ def merge_json(old: Column, ours: Column, theirs: Column) -> Column:
         for x, y, z in zip(o, a, b, strict=True):
             try:
                 made = _option(load(x), load(y), load(z))
-                rows.append((True, None if made is _ABSENT else json.dumps(made, sort_keys=True, separators=(",", ":"), ensure_ascii=False), None))
+                rows.append((True, None if made is _ABSENT else json.dumps(made, sort_keys=True, ensure_ascii=False), None))
             except ValueError as why:
                 rows.append((False, None, str(why)))
         return pd.DataFrame(rows, columns=["ok", "value", "conflict"])

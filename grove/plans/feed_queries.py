@@ -83,7 +83,7 @@ m as (select *, oc = ac or oc = bc or (oc = '-' and (ac = '-' or bc = '-')) or (
 w as (select *, case when aa = oa then ba else aa end as a, case when ab = ob then bb else ab end as b from m),
 same as (select *, (oa = aa and oc = ac and ob = ab) as left_same, (oa = ba and ob = bb and oc = bc) as right_same from w),
 r as (select *, ok or left_same or right_same or (oc = '-' and ac = 'null' and bc = 'null') as fine from same)
-select c_custkey, fine as ok, case when fine then '{{"a":' || a || ',"b":[' || b || ']' || case c when '-' then '' else ',"c":' || c end || '}}' end as value from r"""
+select c_custkey, fine as ok, case when fine then '{{"a": ' || a || ', "b": [' || b || ']' || case c when '-' then '' else ', "c": ' || c end || '}}' end as value from r"""
 
 
 def _documents(s: SparkSession, d: str) -> DataFrame:

@@ -191,12 +191,12 @@ def test_tree_mode(spark):
 def test_json_merges(spark):
     """Null is a value, absence is not; true is no number; arrays and objects as wholes."""
     cases = [
-        ('{"k":1}', '{"k":null}', '{"k":1,"j":2}', '{"j":2,"k":null}'),
-        ('{"a":1}', '{"a":1,"n":null}', '{"a":2}', '{"a":2,"n":null}'),
+        ('{"k":1}', '{"k":null}', '{"k":1,"j":2}', '{"j": 2, "k": null}'),
+        ('{"a":1}', '{"a":1,"n":null}', '{"a":2}', '{"a": 2, "n": null}'),
         ("0", "false", "1", "Conflicting JSON datatypes"),
-        ("[1]", "[1,2]", "[1,2]", "[1,2]"),
+        ("[1]", "[1,2]", "[1,2]", "[1, 2]"),
         ('{"a":1}', '{"a":2}', "{}", "option: add/del"),
-        ('{"a":{"b":1}}', '{"a":{"b":2}}', '{"a":{"b":1,"c":3}}', '{"a":{"b":2,"c":3}}'),
+        ('{"a":{"b":1}}', '{"a":{"b":2}}', '{"a":{"b":1,"c":3}}', '{"a": {"b": 2, "c": 3}}'),
         (None, "1", "1", "default: add/add and no common ancestor"),
         ("null", "null", "2", "2"),
         ("1", "2", "3", "default"),
