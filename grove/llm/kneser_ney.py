@@ -14,7 +14,7 @@ from .shared import materialize, table
 
 ORDER = 5  # bytes of an n-gram, at most 7: a gram is the bytes as one long
 SLICE = 1 << 20
-BATCH = 64 << 20  # bytes of text that are scored together
+BATCH = 32 << 20  # bytes of text that are scored together
 SMALL = 4_000_000  # trusted ids up to which they are broadcast; more are joined by shuffle
 FOLDS = 5  # one of so many trusted texts is kept from training, to set thresholds
 QUANTILE = 0.99  # of those texts, by language
@@ -120,23 +120,28 @@ def perplexities(documents: DataFrame, model: list[tuple[DataFrame, DataFrame]],
     order = len(model)
     size = documents.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     batches = max(1, -(-size // BATCH))
-    rows = documents.select(F.col(id_col).alias("id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).alias("batch")).repartition("batch")
+    rows = documents.select(F.col(id_col).alias("id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).alias("batch")).repartition("batch").sortWithinPartitions("batch")
     place = rows.columns.index("text")
 
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A partition may hold several batches; each keeps what it has asked for.
-        asked: dict[int, np.ndarray] = {}
+        # Rows come batch by batch, so one batch's grams are held however many a task has.
+        number, asked = None, np.zeros(0, np.int64)
         for part in parts:
             numbers = part.column(place + 1).to_numpy()
-            for number in np.unique(numbers).tolist():
-                raw, offsets = utf8(part.column(place).filter(pa.array(numbers == number)))
+            for own in np.unique(numbers).tolist():
+                if own != number:
+                    yield from told(number, asked)
+                    number, asked = own, np.zeros(0, np.int64)
+                raw, offsets = utf8(part.column(place).filter(pa.array(numbers == own)))
                 for a, b in runs(offsets, SLICE):
                     found = np.unique(grams(np.frombuffer(raw[offsets[a] : offsets[b]], np.uint8), offsets[a : b + 1] - offsets[a], order))
-                    asked[number] = np.union1d(asked[number], found) if number in asked else found
-        for number, found in asked.items():
-            for at in range(0, len(found), 1 << 16):
-                own = found[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number)), pa.array(own)], names=["batch", "gram"])
+                    asked = np.union1d(asked, found)
+        yield from told(number, asked)
+
+    def told(number: int | None, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(asked), 1 << 16):
+            own = asked[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number)), pa.array(own)], names=["batch", "gram"])
 
     # Both uses of what is asked are clustered by gram. They keep the same columns (the filter
     # is always true), so Spark sees one exchange and asks once.
