@@ -162,4 +162,5 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "t
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``leaks`` of the items of ``benchmark`` in all ``documents``."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

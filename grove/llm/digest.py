@@ -164,4 +164,5 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all ``documents`` and of their edited texts, and how alike they are."""
     return edited_likeness(table(spark, sf_dir, "documents"))

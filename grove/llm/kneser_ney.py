@@ -197,4 +197,5 @@ def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quality`` of all ``documents``; trusted are those that ``labels`` marks 1."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))

@@ -206,5 +206,6 @@ def predict_language(df: DataFrame, network: Network | None, id_col: str = "doc_
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``predict_language`` of all ``documents``, learnt from those that are not held out."""
     documents = table(spark, sf_dir, "documents")
     return predict_language(documents, fit(documents)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -136,4 +136,5 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pack_documents`` of all ``documents``."""
     return pack_documents(table(spark, sf_dir, "documents"))

@@ -196,6 +196,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spans of all ``documents``, and a digest of the base ones."""
     spans = F.col("spans")
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return find_secrets(table(spark, sf_dir, "documents")).select(

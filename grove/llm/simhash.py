@@ -199,4 +199,5 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of all ``documents``: four words, four bits."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, max_bits=4)

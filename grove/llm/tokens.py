@@ -50,4 +50,5 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all ``documents``."""
     return count_tokens(table(spark, sf_dir, "documents"))

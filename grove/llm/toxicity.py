@@ -189,6 +189,7 @@ def reject_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score_documents`` of all ``documents``, learnt from rows that are not held out."""
     documents = table(spark, sf_dir, "documents")
     found = score_documents(documents, fit(documents, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -213,6 +213,7 @@ def read_archives(archives: DataFrame, split: int = SPLIT, with_payload: bool =
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` written as archives and read back."""
     folder = f"{work_dir(spark)}/grove-warc-{uuid.uuid4().hex}"
     archives = write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "valid")
