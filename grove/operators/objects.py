@@ -68,8 +68,8 @@ def _entries_hash(nodes: DataFrame) -> DataFrame:
 
 def checked_nodes(nodes: DataFrame) -> DataFrame:
     """Entries of nodes; a node whose hash isn't that of its entries is an error when used."""
-    right = F.when(F.col("real") == F.col("node_hash"), F.col("node_hash")).otherwise(F.raise_error(F.concat(F.lit("corrupted slice node "), F.col("node_hash"))).cast("string"))
-    return nodes.join(_entries_hash(nodes), "node_hash").withColumn("node_hash", right).select(*nodes.columns)
+    right = F.when(F.col("real") == F.col("node_hash"), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("corrupted slice node "), F.col("node_hash"))).cast("string"))
+    return nodes.join(_entries_hash(nodes), "node_hash").withColumn("kind", right).select(*nodes.columns)
 
 
 def checked_commits(commits: DataFrame) -> DataFrame:

@@ -186,6 +186,19 @@ def node_hashes(leaves: DataFrame, deepest: int | None = None, pruned: DataFrame
     return out
 
 
+def settled(leaves: DataFrame) -> DataFrame:
+    """``leaves`` written down with those of one directory side by side; a directory that is
+    too wide for one task is dealt to several."""
+    near = leaves.select(*LEAF, F.xxhash64(paths.parent(F.col("path"))).alias("_up"))
+    return settle(near.hint("rebalance", F.col("_up")).drop("_up"))
+
+
+def directory_hashes(leaves: DataFrame) -> DataFrame:
+    """``path, hash`` of every directory, as ``node_hashes`` has them, written down."""
+    found = node_hashes(leaves).where("kind = 'node'").select("path", "hash")
+    return settle(found)
+
+
 def hashes_at(leaves: DataFrame, keys: DataFrame) -> DataFrame:
     """``path, kind, hash`` of what is at each of ``keys``; nulls where there is nothing."""
     return keys.select("path").join(node_hashes(leaves), "path", "left")
