@@ -68,7 +68,8 @@ def listing(leaves: DataFrame, path: list[str], offset: int = 0, length: int | N
 
 def lengths(leaves: DataFrame) -> DataFrame:
     """``path, children`` of every directory."""
-    return children(leaves).groupBy(F.col("parent").alias("path")).agg(F.count("*").alias("children"))
+    own = leaves.where(F.size("path") > 0).select("path").distinct().unionByName(nodes(leaves).where(F.size("path") > 0))
+    return own.groupBy(paths.parent(F.col("path")).alias("path")).agg(F.count("*").alias("children"))
 
 
 def _below(leaves: DataFrame, keys: DataFrame) -> DataFrame:
@@ -155,10 +156,21 @@ def stats(leaves: DataFrame) -> DataFrame:
 
 
 def neighbours(leaves: DataFrame) -> DataFrame:
-    """``path, siblings``: for each leaf the other children met on its way from the root."""
-    wide = lengths(leaves)
-    way = leaves.select("path", F.explode(paths.prefixes(F.col("path"))).alias("up"))
-    return way.join(wide.withColumnRenamed("path", "up"), "up").groupBy("path").agg(F.sum(F.col("children") - 1).alias("siblings"))
+    """``path, siblings``: for each leaf the other children met on its way from the root.
+
+    Summed up from the root down, a join of directories a level, so no leaf meets every
+    directory above it."""
+    wide = settle(lengths(leaves))
+    deepest = wide.agg(F.max(F.size("path"))).first()[0] or 0
+    level = wide.where(F.size("path") == 0).select("path", (F.col("children") - 1).alias("siblings"))
+    every = level
+    for depth in range(1, deepest + 1):
+        above = level.select(F.col("path").alias("_up"), F.col("siblings").alias("_above"))
+        here = wide.where(F.size("path") == depth).withColumn("_up", paths.parent(F.col("path")))
+        level = settle(here.join(above, "_up").select("path", (F.col("_above") + F.col("children") - 1).alias("siblings")))
+        every = every.unionByName(level)
+    way = leaves.where(F.size("path") > 0).select("path", paths.parent(F.col("path")).alias("_up"))
+    return way.join(every.withColumnRenamed("path", "_up"), "_up").select("path", "siblings")
 
 
 def node_hashes(leaves: DataFrame, deepest: int | None = None, pruned: DataFrame | None = None) -> DataFrame:

@@ -46,3 +46,8 @@ def test_a_directory_that_is_missing_is_an_error(spark, tmp_path, monkeypatch, s
     hole._append("nodes", repo.table("nodes").where("step not in ('c', 'd')"), ["node_hash", "step"])
     with pytest.raises(Exception, match="dangling node"):
         hole.read_tree(root)
+
+
+def test_neighbours_go_down_by_directories(spark):
+    found = T.neighbours(tree(spark, LEAVES))
+    assert {"/" + "/".join(r.path): r.siblings for r in found.collect()} == {"/a/b/c": 4, "/a/b/d": 4, "/a/e": 3, "/f": 2, "/g/h/i/j": 2}
