@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import hashes
+from .graph import settle
 
 
 GROUP = 4096  # slots that are carried over together
+TASK = 1 << 20  # rows that a task orders, about; more rows are dealt to more tasks
+
+
+def _dealt(rows: DataFrame, count: int, key: str) -> DataFrame:
+    """``rows`` by ``key`` in tasks whose number grows with their ``count``, where that makes
+    more of them than the session has by itself."""
+    tasks = -(-count // TASK)
+    return rows.repartition(tasks, key) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
 def store(values: DataFrame, value: str = "value") -> DataFrame:
@@ -119,6 +128,7 @@ def coalesce_ranges(ranges: DataFrame, shard: int = 1 << 32) -> DataFrame:
     ends = F.sequence(F.floor(F.col("off") / shard), F.floor((F.col("end") - 1) / shard))
     rows = ranges.select("off", (F.col("off") + F.col("len")).alias("end")).where("end > off").select("off", "end", F.explode(ends).alias("shard"))
     rows = rows.select("shard", F.greatest("off", F.col("shard") * shard).alias("off"), F.least("end", (F.col("shard") + 1) * shard).alias("end"))
+    rows = _dealt(rows, ranges.count(), "shard")
     w = Window.partitionBy("shard").orderBy("off", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("new", F.when(before >= F.col("off"), 0).otherwise(1)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -142,7 +152,8 @@ def locate(offsets: DataFrame, ranges: DataFrame, width: int = 1 << 16) -> DataF
     """
     ends = ranges.select((F.col("off") + F.col("len") - 1).alias("at"), F.lit(1).alias("kind"), F.struct("off", "len").alias("r"), F.lit(None).cast("long").alias("x"))
     asks = offsets.select(F.col("x").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(ends.schema["r"].dataType).alias("r"), F.col("x").cast("long").alias("x"))
-    rows = ends.unionByName(asks).withColumn("slot", F.floor(F.col("at") / width))
+    rows = settle(ends.unionByName(asks).withColumn("slot", F.floor(F.col("at") / width)))
+    rows = _dealt(rows, rows.count(), "slot")
     back = Window.partitionBy("slot").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
     here = rows.withColumn("found", F.last("r", ignorenulls=True).over(back)).where("kind = 0")
     slots = rows.groupBy("slot").agg(F.min_by("r", F.when(F.col("kind") == 1, F.col("at"))).alias("first"))

@@ -51,3 +51,27 @@ def test_a_directory_that_is_missing_is_an_error(spark, tmp_path, monkeypatch, s
 def test_neighbours_go_down_by_directories(spark):
     found = T.neighbours(tree(spark, LEAVES))
     assert {"/" + "/".join(r.path): r.siblings for r in found.collect()} == {"/a/b/c": 4, "/a/b/d": 4, "/a/e": 3, "/f": 2, "/g/h/i/j": 2}
+
+
+def test_tasks_grow_with_the_ranges(spark, monkeypatch):
+    monkeypatch.setattr(O, "TASK", 4)
+    ranges = spark.range(40).select((F.col("id") * 10).alias("off"), (F.col("id") % 3 * 5 + 1).alias("len"))
+    asked = []
+    real = O._dealt
+    monkeypatch.setattr(O, "_dealt", lambda rows, count, key: asked.append(real(rows, count, key)) or asked[-1])
+    joined = O.coalesce_ranges(ranges, 64)
+    assert asked[0].rdd.getNumPartitions() == 10
+    covered = sorted((r.off, r.off + r.len) for r in joined.collect())
+    want = []
+    for i in range(40):
+        a, b = i * 10, i * 10 + i % 3 * 5 + 1
+        if want and a <= want[-1][1]:
+            want[-1][1] = max(want[-1][1], b)
+        else:
+            want.append([a, b])
+    assert covered == [tuple(w) for w in want]
+    places = O.locate(spark.range(0, 420, 7).select(F.col("id").alias("x")), joined, 32)
+    assert asked[-1].rdd.getNumPartitions() > 4
+    for r in places.collect():
+        at = next((w for w in want if w[1] > r.x), None)
+        assert (r.off, r.place) == ((None, "after") if at is None else (at[0], "inside" if r.x >= at[0] else "before"))
