@@ -203,6 +203,17 @@ def object_edges(branches: DataFrame, commits: DataFrame, nodes: DataFrame) -> D
     return of_branch.unionByName(of_root).unionByName(of_parent).unionByName(of_node).distinct()
 
 
+def _reach_kinds(own: DataFrame, starts: DataFrame) -> DataFrame:
+    """``reach_far`` over ``src_kind, src, dst_kind, dst``. Objects of a kind that leads nowhere,
+    as contents, take no part in the search: one join at its end finds them."""
+    rows = settle(own)
+    leading = [r[0] for r in rows.select("src_kind").distinct().collect()]
+    last = ~F.col("dst_kind").isin(leading)
+    inner = settle(reach_far(rows.where(~last).select("src", "dst"), starts))
+    met = inner.join(rows.where(last).select("src", "dst"), F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), (F.col("level") + 1).alias("level"))
+    return inner.unionByName(met).groupBy("origin", "node").agg(F.min("level").alias("level"))
+
+
 def visits(edges: DataFrame, most: DataFrame, least: DataFrame | None = None, skip: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """``kind, key, level`` of all objects from ``most`` (``kind, key``) on, each at its lowest
     level, over edges as of ``object_edges`` or of the caller's own making.
@@ -225,11 +236,10 @@ def visits(edges: DataFrame, most: DataFrame, least: DataFrame | None = None, sk
         beyond = own.join(end, F.col("src") == F.col("end"), "left_anti")
         trees = own.where("src_kind = 'commit' and dst_kind <> 'commit'").join(end, F.col("src") == F.col("end"), "left_semi")
         own = beyond.unionByName(trees)
-    own = own.select("src", "dst")
     if depth is None:
-        found = reach_far(own, starts)
+        found = _reach_kinds(own, starts)
     else:
-        found = reach(own, starts, depth - 1) if depth > 0 else starts.limit(0).withColumn("level", F.lit(0))
+        found = reach(own.select("src", "dst"), starts, depth - 1) if depth > 0 else starts.limit(0).withColumn("level", F.lit(0))
     return found.select(F.substring_index("node", ":", 1).alias("kind"), F.expr("substring(node, instr(node, ':') + 1)").alias("key"), F.col("level").cast("long").alias("level"))
 
 

@@ -53,6 +53,17 @@ def test_neighbours_go_down_by_directories(spark):
     assert {"/" + "/".join(r.path): r.siblings for r in found.collect()} == {"/a/b/c": 4, "/a/b/d": 4, "/a/e": 3, "/f": 2, "/g/h/i/j": 2}
 
 
+def test_contents_take_no_part_in_the_search(spark, monkeypatch):
+    rows = [("commit", "c", "node", "r"), ("node", "r", "contents", "x"), ("node", "r", "node", "n"), ("node", "n", "contents", "x"), ("node", "n", "contents", "y")]
+    seen, real = [], G.reach_far
+    monkeypatch.setattr(G, "reach_far", lambda edges, *more: seen.append({r.dst for r in edges.collect()}) or real(edges, *more))
+    edges = spark.createDataFrame(rows, "src_kind string, src string, dst_kind string, dst string")
+    most = spark.createDataFrame([("commit", "c"), ("contents", "z")], "kind string, key string")
+    found = {(r.kind, r.key): r.level for r in G.visits(edges, most).collect()}
+    assert found == {("commit", "c"): 0, ("contents", "z"): 0, ("node", "r"): 1, ("node", "n"): 2, ("contents", "x"): 2, ("contents", "y"): 3}
+    assert seen == [{"node:r", "node:n"}]
+
+
 def test_tasks_grow_with_the_ranges(spark, monkeypatch):
     monkeypatch.setattr(O, "TASK", 4)
     ranges = spark.range(40).select((F.col("id") * 10).alias("off"), (F.col("id") % 3 * 5 + 1).alias("len"))
