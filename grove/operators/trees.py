@@ -109,6 +109,14 @@ def add_tree(leaves: DataFrame, path: list[str], tree: DataFrame) -> DataFrame:
     return remove(leaves, here).join(way, "path", "left_anti").select(*LEAF).unionByName(placed)
 
 
+def _ups(ops: DataFrame) -> DataFrame:
+    """Each operation with the places ``up``, its own and those above it, where one may be: at
+    other lengths than operations have there is none, so few meet at the root."""
+    lengths = sorted(r.n for r in ops.select(F.size("path").alias("n")).distinct().collect())
+    at = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.size("path"))
+    return ops.select("seq", "path", "value", "metadata", F.explode(F.transform(at, lambda n: F.slice("path", 1, n))).alias("up"))
+
+
 def apply_batch(leaves: DataFrame, ops: DataFrame) -> DataFrame:
     """``ops`` (``seq, path, value, metadata``, a null value removes) in the order of ``seq``.
 
@@ -116,11 +124,11 @@ def apply_batch(leaves: DataFrame, ops: DataFrame) -> DataFrame:
     is below it. An old leaf stays unless some operation is at its path or above, or some
     addition below.
     """
-    own = ops.select("seq", "path", "value", "metadata", F.explode(F.concat(paths.prefixes(F.col("path")), F.array("path"))).alias("up"))
+    own = _ups(ops).where(F.col("value").isNotNull())
     latest = ops.groupBy(F.col("path").alias("up")).agg(F.max("seq").alias("above"))
     adds = ops.where(F.col("value").isNotNull())
     below = adds.select("seq", F.explode(paths.prefixes(F.col("path"))).alias("path")).groupBy("path").agg(F.max("seq").alias("below"))
-    added = own.where(F.col("value").isNotNull()).join(latest, "up", "left").groupBy("seq", "path").agg(F.max("above").alias("above"), F.first("value").alias("value"), F.first("metadata").alias("metadata"))
+    added = own.join(latest, "up", "left").groupBy("seq", "path").agg(F.max("above").alias("above"), F.first("value").alias("value"), F.first("metadata").alias("metadata"))
     added = added.join(below, "path", "left").where((F.col("above") <= F.col("seq")) & (F.coalesce("below", F.col("seq")) <= F.col("seq")))
     kept = _below(leaves, ops).join(below.select("path"), "path", "left_anti")
     return kept.select(*LEAF).unionByName(added.select(*LEAF))

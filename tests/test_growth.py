@@ -53,6 +53,11 @@ def test_neighbours_go_down_by_directories(spark):
     assert {"/" + "/".join(r.path): r.siblings for r in found.collect()} == {"/a/b/c": 4, "/a/b/d": 4, "/a/e": 3, "/f": 2, "/g/h/i/j": 2}
 
 
+def test_few_operations_meet_at_the_root(spark):
+    ops = spark.createDataFrame([(1, ["a", "b"], "x", None), (2, ["a", "b", "c"], None, None)], "seq long, path array<string>, value string, metadata string")
+    assert sorted((r.seq, r.up) for r in T._ups(ops).collect()) == [(1, ["a", "b"]), (2, ["a", "b"]), (2, ["a", "b", "c"])]
+
+
 def test_contents_take_no_part_in_the_search(spark, monkeypatch):
     rows = [("commit", "c", "node", "r"), ("node", "r", "contents", "x"), ("node", "r", "node", "n"), ("node", "n", "contents", "x"), ("node", "n", "contents", "y")]
     seen, real = [], G.reach_far
