@@ -1,9 +1,9 @@
-"""Pairs of texts whose word shingles have a given Jaccard similarity: MinHash finds
-candidates, the shingles themselves decide."""
+"""Pairs of texts whose word shingles have a given Jaccard similarity: SimHash and MinHash
+find candidates, the shingles themselves decide."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,15 @@ def node(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).astype(np.int64)) if len(own) else 0
 
 
+def print_of(own: np.ndarray) -> int:
+    """The SimHash (a signed long) of a set of shingles, each counted once, so that equal sets
+    have equal ones: a bit is set if it is in over half of them; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(own), SLICE):
+        ones += np.unpackbits(own[at : at + SLICE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
+
+
 def shingle_node(text: Column, words: int) -> Column:
     """The node of a text column (null: 0, as for no words)."""
 
@@ -69,8 +78,8 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def nodes(df: DataFrame, words: int) -> DataFrame:
-    """``id, text`` to ``id, node, size, bands``: the shingle set's number, its size and its
-    band hashes (none for a text without words)."""
+    """``id, text`` to ``id, node, size, fp, bands``: the shingle set's number, its size, its
+    SimHash and its band hashes (none for a text without words)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,10 +90,10 @@ def nodes(df: DataFrame, words: int) -> DataFrame:
                 sizes = np.array([len(s) for s in sets], np.int64)
                 hashes = bands([s for s in sets if len(s)]).view(np.int64).ravel()
                 ends = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
-                columns = [part.column(0), pa.array([node(s) for s in sets], pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "size", "bands"])
+                columns = [part.column(0), pa.array([node(s) for s in sets], pa.int64()), pa.array(sizes), pa.array([print_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "size", "fp", "bands"])
 
-    return df.mapInArrow(work, f"id {df.schema['id'].dataType.simpleString()}, node long, size long, bands array<long>")
+    return df.mapInArrow(work, f"id {df.schema['id'].dataType.simpleString()}, node long, size long, fp long, bands array<long>")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -130,18 +139,29 @@ def forest(names: np.ndarray, sets: list[np.ndarray], similarity: float) -> list
     return out
 
 
-def similar_links(distinct: DataFrame, df: DataFrame, words: int, similarity: float) -> DataFrame:
+def _near_prints(distinct: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links ``(a, b)`` between nodes whose SimHashes are equal, or linked by ``near``."""
+    worded = distinct.where("size > 0").select("node", "fp")
+    prints = materialize(worded.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "prints")
+    same = join_counted(worded, prints.where("n > 1"), "fp", "n", distinct.count()).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    side = lambda end: prints.select(F.col("fp").alias(end), F.col("first").alias(f"of_{end}"))
+    linked = near(prints.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return same.unionByName(linked)
+
+
+def similar_links(distinct: DataFrame, df: DataFrame, words: int, similarity: float, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links ``(a, b)`` between nodes with that Jaccard similarity at least, thinned to forests.
 
-    ``distinct`` has one row ``node, size, bands, least`` for each set of shingles; ``df`` has
-    the rows ``id, text`` they come from. Nodes that share a band are candidates, and their
-    components are groups in which all pairs are compared, so thinning candidates loses none.
+    ``distinct`` has one row ``node, size, fp, bands, least`` for each set of shingles; ``df``
+    has the rows ``id, text`` they come from. Nodes whose SimHashes are equal or linked by
+    ``near`` are candidates, and so are those that share a band of MinHash; their components are groups in which all pairs are compared, so thinning candidates loses none.
     A group of over ``PART`` shingles is cut into parts by hash, and each pair of parts is
     searched in a task of its own.
     """
     keys = distinct.select("node", F.explode("bands").alias("band"))
     firsts = keys.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("first != last").select("band", "first", "n")
-    coarse = materialize(components(join_counted(keys, firsts, "band", "n", BANDS * distinct.count()).select(F.col("node").alias("a"), F.col("first").alias("b")), "candidates").join(distinct.select("node", "size", "least"), "node"), "groups")
+    banded = join_counted(keys, firsts, "band", "n", BANDS * distinct.count()).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    coarse = materialize(components(_near_prints(distinct, near).unionByName(banded), "candidates").join(distinct.select("node", "size", "least"), "node"), "groups")
     parts = coarse.groupBy("root").agg(F.ceil(F.sum("size") / PART).cast("int").alias("parts"), F.count("*").alias("n"))
     part = F.pmod(F.xxhash64(F.col("node") + 1), F.col("parts"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, part).alias("i"), F.greatest(i, part).alias("j")))
@@ -170,13 +190,13 @@ def similar_links(distinct: DataFrame, df: DataFrame, words: int, similarity: fl
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long").distinct()
 
 
-def similar_groups(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``node, root, component_id`` of every set of shingles: nodes with one root are joined
     by links, ``component_id`` is their smallest id (null: they have none)."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     own = materialize(nodes(rows, words), "nodes")
-    distinct = materialize(own.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")), "distinct")
-    linked = components(similar_links(distinct, rows, words, similarity), "similar")
+    distinct = materialize(own.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
+    linked = components(similar_links(distinct, rows, words, similarity, near), "similar")
     rooted = materialize(distinct.select("node", "least").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "rooted")
     lowest = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "lowest")
     return join_counted(rooted, lowest, "root", "n", rooted.count()).select("node", "root", "component_id")

@@ -174,16 +174,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return join_counted(own, groups, "fp", "n", own.count()).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 4) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each group the row with the smallest id.
 
     Groups are of texts that can be reached through pairs whose sets of shingles have that
-    Jaccard similarity at least. Several rows with that id: one stays, the same in every run
+    Jaccard similarity at least. Candidates are texts whose SimHashes differ in ``max_bits``
+    bits or fewer, found by blocks, and, for SimHash alone misses many at 0.8, those that
+    share a band of MinHash; the shingles decide. Several rows with that id: one stays, the same in every run
     (by hash of the text, then the other columns as JSON). Rows without an id go if a row
     with an id is in their group; else one stays for each group.
     """
     group, rank, number = (fresh(df, stem) for stem in ("group", "rank", "node"))
-    groups = similar_groups(df, id_col, text_col, words, similarity)
+    groups = similar_groups(df, id_col, text_col, words, similarity, lambda fps: hamming_links(fps, max_bits))
     # Of the rows with an id, the one that gives its group the smallest id is in that group.
     chosen = groups.where("component_id is not null").select(F.col("component_id").alias(id_col)).distinct()
     rows = df.join(chosen, id_col, "left_semi")

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from grove.llm import jaccard as J
-from grove.llm.simhash import keep_one
+from grove.llm.simhash import hamming_links, keep_one
 
 
 def plain(text, words=5):
@@ -73,3 +73,13 @@ def test_groups_without_ids(spark):
     near = [*base[:-1], "end"]
     df = spark.createDataFrame([(None, " ".join(base)), (None, " ".join(near)), (None, "alone here")], "doc_id long, text string")
     assert keep_one(df).count() == 2
+
+
+def test_fingerprints_find_candidates_without_a_shared_band(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(reversed(words)), ""]
+    own = J.nodes(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 5)
+    node = {r.id: r.node for r in own.collect()}
+    found = {frozenset(r) for r in J._near_prints(own, lambda fps: hamming_links(fps, 4)).collect() if r.a != r.b}
+    assert found == {frozenset([node[0], node[1]])}
+    assert sorted(r.doc_id for r in keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()) == [0, 2, 3]
