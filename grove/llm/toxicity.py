@@ -22,6 +22,7 @@ POSITIVES, UNLABELLED = 3000, 6000  # bounds of the training sample, in rows
 LEAST, LIFT = 0.03, 3.0  # share of positives that have a feature; times its share at large
 SAMPLE = 64 << 20  # bytes of text of either side of the training sample
 NOTHING = -60.0  # the bias of a model that knows of no toxic text
+BUCKETS = 1 << 20  # counters by which rare features are told
 KEEP = 50_000  # words whose weight a worker remembers
 
 
@@ -99,8 +100,13 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
     features = lambda text: (f for w in set(WORD.findall(text.lower())) for f in _of_word(w))
     # Features are kept that stand in enough positives, and there oftener than at large. Only
     # those of the first kind are looked for in the other rows, so little is held.
-    in_p = Counter(f for t in positive for f in set(features(t)))
     least = max(3, LEAST * len(positive))
+    # Most features are rare: those of a bucket that is met too seldom are not held at all.
+    met = np.zeros(BUCKETS, np.int64)
+    for t in positive:
+        np.add.at(met, np.fromiter((hash(f) % BUCKETS for f in set(features(t))), np.int64), 1)
+    often = met >= least
+    in_p = Counter(f for t in positive for f in set(features(t)) if often[hash(f) % BUCKETS])
     number = {f: i for i, f in enumerate(sorted(f for f, n in in_p.items() if n >= least))}
     bags, others = ([np.sort(np.array([number[f] for f in features(t) if f in number], np.int64)) for t in x] for x in (positive, unlabelled))
     in_u = np.bincount(np.concatenate([np.unique(b) for b in others]), minlength=len(number))
