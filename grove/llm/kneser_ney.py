@@ -15,6 +15,8 @@ from .shared import materialize, table
 ORDER = 5  # bytes of an n-gram, at most 7: a gram is the bytes as one long
 SLICE = 1 << 20
 BATCH = 32 << 20  # bytes of text that are scored together
+PACK = 32 << 20  # bytes of rows that a task deals to batches at once
+LEVEL = 3  # of zstd, for texts on their way to a batch
 SMALL = 4_000_000  # trusted ids up to which they are broadcast; more are joined by shuffle
 FOLDS = 5  # one of so many trusted texts is kept from training, to set thresholds
 QUANTILE = 0.99  # of those texts, by language
@@ -109,33 +111,92 @@ def probabilities(asked: DataFrame, model: list[tuple[DataFrame, DataFrame]]) ->
     return rows.select("gram", F.log(value).alias("logp"))
 
 
+def pack(parts: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``batch``, text and others, about ``PACK`` bytes at a time, as one row a batch:
+    ``batch``, the texts' sizes, their bytes side by side under zstd, and lists of the others."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in parts:
+        for a, b in runs(utf8(part.column(1))[1], PACK):
+            own = part.slice(a, b - a)
+            if held and size + own.nbytes > PACK:
+                yield packed(held, names)
+                held, size = [], 0
+            held.append(own)
+            size += own.nbytes
+    if size:
+        yield packed(held, names)
+
+
+def packed(held: list[pa.RecordBatch], names: list[str]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held)
+    numbers = rows.column(0).to_numpy()
+    rows = rows.take(pa.array(np.argsort(numbers, kind="stable"))).combine_chunks()
+    found, n = np.unique(numbers, return_counts=True)
+    edges = np.concatenate([[0], np.cumsum(n)])
+    raw, offsets = utf8(rows.column(1))
+    zstd = pa.Codec("zstd", compression_level=LEVEL)
+    data = [zstd.compress(raw[offsets[a] : offsets[b]], asbytes=True) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), x) for x in (pa.array(np.diff(offsets), pa.int32()), *(c.combine_chunks() for c in rows.columns[2:]))]
+    return pa.RecordBatch.from_arrays([pa.array(found), lists[0], pa.array(data, pa.binary()), *lists[1:]], names=names)
+
+
+def unpack(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts of packed rows in their order, about ``SLICE`` bytes at a time or one text
+    that has more: the bytes side by side, and where each text starts and ends."""
+    held: list[pa.Buffer] = []
+    sizes: list[np.ndarray] = []
+    total = 0
+
+    def told() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        data = np.frombuffer(b"".join(held), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+        for a, b in runs(offsets, SLICE):
+            yield data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+    for own, data in zip(rows.column(1), rows.column(2), strict=True):
+        lengths = own.values.to_numpy()
+        n = int(lengths.sum(dtype=np.int64))
+        if sizes and total + n > SLICE:
+            yield from told()
+            held, sizes, total = [], [], 0
+        if n:
+            held.append(pa.decompress(data.as_buffer(), decompressed_size=n, codec="zstd"))
+        sizes.append(lengths)
+        total += n
+    if sizes:
+        yield from told()
+
+
 def perplexities(documents: DataFrame, model: list[tuple[DataFrame, DataFrame]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("lang",)) -> DataFrame:
     """``id_col``, the ``keep`` columns, ``n_bytes`` and ``perplexity`` of every row.
 
-    Rows are dealt by hash to batches of about ``BATCH`` bytes, the one shuffle of texts. A
-    batch asks for its distinct grams; these, not their occurrences, are joined with the
-    model's shards, and the answers go back to the batch. Empty and null texts have no
-    perplexity (null); null and repeated ids are kept.
+    Rows are dealt by hash to batches of about ``BATCH`` bytes, the one shuffle of texts,
+    which go compressed. A batch asks for its distinct grams; these, not their occurrences,
+    are joined with the model's shards, and the answers go back to the batch. Empty and null
+    texts have no perplexity (null); null and repeated ids are kept.
     """
     order = len(model)
     size = documents.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     batches = max(1, -(-size // BATCH))
-    rows = documents.select(F.col(id_col).alias("id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).alias("batch")).repartition("batch").sortWithinPartitions("batch")
-    place = rows.columns.index("text")
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
+    carried = [id_col, *keep]
+    names = ["batch", "size", "packed", *(f"c{i}" for i in range(len(carried)))]
+    dealt = documents.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).alias("batch"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(name) for c, name in zip(carried, names[3:], strict=True)))
+    shape = "batch long, size array<int>, packed binary, " + ", ".join(f"{name} array<{kinds[c]}>" for c, name in zip(carried, names[3:], strict=True))
+    rows = dealt.mapInArrow(lambda parts: pack(parts, names), shape).repartition("batch").sortWithinPartitions("batch")
 
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come batch by batch, so one batch's grams are held however many a task has.
         number, asked = None, np.zeros(0, np.int64)
         for part in parts:
-            numbers = part.column(place + 1).to_numpy()
+            numbers = part.column(0).to_numpy()
             for own in np.unique(numbers).tolist():
                 if own != number:
                     yield from told(number, asked)
                     number, asked = own, np.zeros(0, np.int64)
-                raw, offsets = utf8(part.column(place).filter(pa.array(numbers == own)))
-                for a, b in runs(offsets, SLICE):
-                    found = np.unique(grams(np.frombuffer(raw[offsets[a] : offsets[b]], np.uint8), offsets[a : b + 1] - offsets[a], order))
-                    asked = np.union1d(asked, found)
+                for data, offsets in unpack(part.filter(pa.array(numbers == own))):
+                    asked = np.union1d(asked, np.unique(grams(data, offsets, order)))
         yield from told(number, asked)
 
     def told(number: int | None, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -148,24 +209,22 @@ def perplexities(documents: DataFrame, model: list[tuple[DataFrame, DataFrame]],
     asked = rows.mapInArrow(ask, "batch long, gram long").repartition("gram")
     distinct = asked.groupBy("gram").agg(F.min("batch").alias("least")).where("least >= 0").select("gram")
     answers = asked.join(probabilities(distinct, model), "gram").select("batch", "gram", "logp")
-    kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
-    schema = f"`{id_col}` {kinds[id_col]}, " + "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_bytes long, perplexity double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", n_bytes long, perplexity double"
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
         codes, logp = known.column("gram").to_numpy(), known.column("logp").to_numpy()
         order_by = np.argsort(codes)
         codes, logp = codes[order_by], logp[order_by]
-        raw, offsets = utf8(texts.column("text"))
-        size = np.diff(offsets)
-        sums = np.zeros(len(size))
-        for a, b in runs(offsets, SLICE):
-            own = offsets[a : b + 1] - offsets[a]
-            found, which = np.unique(grams(np.frombuffer(raw[offsets[a] : offsets[b]], np.uint8), own, order), return_inverse=True)
+        sizes, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for data, offsets in unpack(texts):
+            found, which = np.unique(grams(data, offsets, order), return_inverse=True)
             values = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(codes, found)][which])]) if len(found) else np.zeros(1)
-            sums[a:b] = values[own[1:]] - values[own[:-1]]
-        perplexity = pa.array(np.exp(-sums / np.maximum(size, 1)), mask=size == 0)
-        columns = [texts.column("id"), *(texts.column(c) for c in keep), pa.array(size), perplexity]
-        return pa.table(columns, names=[id_col, *keep, "n_bytes", "perplexity"])
+            sums.append(values[offsets[1:]] - values[offsets[:-1]])
+            sizes.append(np.diff(offsets))
+        size = np.concatenate(sizes)
+        perplexity = pa.array(np.exp(-np.concatenate(sums) / np.maximum(size, 1)), mask=size == 0)
+        columns = [c.combine_chunks().flatten() for c in texts.columns[3:]]
+        return pa.table([*columns, pa.array(size), perplexity], names=[*carried, "n_bytes", "perplexity"])
 
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, schema)
 
